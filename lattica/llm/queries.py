@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica.llm.bench_decontam import contamination
 from lattica.llm.common import table
+from lattica.llm.embedding_dedup import near_vectors
 from lattica.llm.minhash_dedup import near_duplicates
 
 
@@ -14,8 +16,20 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op9_bench_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_minhash_dedup": op6_minhash_dedup}
+    return {
+        "op6_minhash_dedup": op6_minhash_dedup,
+        "op7_embedding_dedup": op7_embedding_dedup,
+        "op9_bench_decontam": op9_bench_decontam,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
