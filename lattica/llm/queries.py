@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from lattica.llm.bench_decontam import contamination
 from lattica.llm.common import table
 from lattica.llm.embedding_dedup import near_vectors
+from lattica.llm import mixing, url_cascade
 from lattica.llm.minhash_dedup import near_duplicates
 
 
+def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.judge_urls(table(spark, sf_dir, "pages"), url_cascade.RULES)
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -20,17 +25,26 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.poisson_mix(table(spark, sf_dir, "documents"), group="source", alpha=0.5, seed=1)
+
+
 def op9_bench_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_url_cascade": op4_url_cascade,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_embedding_dedup": op7_embedding_dedup,
+        "op8_poisson_mix": op8_poisson_mix,
         "op9_bench_decontam": op9_bench_decontam,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_url_cascade": url_cascade.ORACLE_SQL,
+        "op8_poisson_mix": mixing.ORACLE_SQL,
+    }
