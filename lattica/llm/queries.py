@@ -11,6 +11,7 @@ from lattica.llm.bench_decontam import contamination
 from lattica.llm.common import table
 from lattica.llm.embedding_dedup import near_vectors
 from lattica.llm.html_extract import extract_text
+from lattica.llm.license_scan import scan_licenses
 from lattica.llm.minhash_dedup import near_duplicates
 from lattica.llm.quality import quality_scores
 from lattica.llm.toxicity import toxicity_scores
@@ -20,6 +21,10 @@ def op1_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +60,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_assembly": op1_warc_assembly,
+        "op2_license_scan": op2_license_scan,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_url_cascade": op4_url_cascade,
         "op5_toxicity": op5_toxicity,
