@@ -91,7 +91,7 @@ def _assign(shared, probes: int):
 def _products(threshold: float):
     """For two blocks of a cell: each class's linked copies, and links that span the block's groups."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         cell, left, right = key[2], key[3], key[4]
         rows = rows.sort_values("node", kind="stable").reset_index(drop=True)
         x = _unit(rows["embedding"])

@@ -120,7 +120,7 @@ def _across(percent: int):
     numbering of the block's shingles, so nothing is estimated.
     """
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = key[2], key[3]
         rows = rows.sort_values("node", kind="stable").reset_index(drop=True)
         sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
@@ -233,11 +233,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     final = components(links.union(apart))
 
     placed = classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return features.join(placed, "set_key", "left").select(
         "doc_id",
         "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce(F.col("component_id"), F.col("doc_id")) == F.col("doc_id"), F.lit(True)).alias("kept"),
+        component.alias("component_id"),
+        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
 
 
