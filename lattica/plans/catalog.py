@@ -647,12 +647,12 @@ def apply_many(spark, sf):
     return _set(spark, sf, "region").select(F.col("r_regionkey").alias("k")).apply_many([nations.where(F.col("k") > 10), nations], sizes, "source long, n long").frame
 
 
-@query("select (o_orderkey > 5000)::int as pid, count(*) as n from orders group by 1")
+@query("select (o_orderkey > 700)::int as pid, count(*) as n from orders group by 1")
 def apply_partition_index(spark, sf):
     def sizes(batches, index):
         yield pd.DataFrame({"pid": [index], "n": [sum(len(b) for b in batches)]})
 
-    return _set(spark, sf, "orders").select("o_orderkey").range_partition("o_orderkey", separators=[5000]).apply_with_partition_index(sizes, "pid int, n long").frame
+    return _set(spark, sf, "orders").select("o_orderkey").range_partition("o_orderkey", separators=[700]).apply_with_partition_index(sizes, "pid int, n long").frame
 
 
 @query("select case when value > 50 then 'high' else 'low' end as branch, count(*) as n, sum(event_id)::bigint as ids from events group by 1")
