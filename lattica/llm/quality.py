@@ -60,19 +60,22 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
-    """(text, label) of at most ``most`` labelled rows that aren't held out: those with the smallest hashes."""
+    """(doc_id, label, text) of at most ``most`` labelled ids that aren't held out: those with the smallest hashes.
+
+    Rows that share a doc_id are one example, with the smallest of their texts.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (crc_bucket() != 0))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "label").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most ``most`` ids go to each executor.
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> np.ndarray | None:
     """Weights fitted on the labelled rows of docs that aren't held out; None without rows of both labels."""
     rows = labelled_sample(docs, labels, "quality", sample).drop("doc_id").mapInPandas(_packed, "at binary, x binary, label int")
-    found = sorted((bytes(r["at"]), bytes(r["x"]), r["label"]) for r in rows.toLocalIterator())[: 2 * sample]
+    found = sorted((bytes(r["at"]), bytes(r["x"]), r["label"]) for r in rows.toLocalIterator())
     y = [label for _, _, label in found]
     if len(set(y)) < 2:
         return None
@@ -100,8 +103,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = KEEP,
 
     Defined cases: null, empty and blank texts have the bias alone and so one
     score; labels that are null or neither 0 nor 1, and ids without a text, are
-    no examples; a repeated labelled row counts as often as it occurs, up to
-    twice the sample in all; without examples of both labels every score is 1.
+    no examples; rows that share a doc_id are one example; without examples of
+    both labels every score is 1.
     A row without doc_id is scored, and held out is false.  An empty table
     gives an empty result; further columns are ignored.
     """

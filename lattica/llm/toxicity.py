@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: list[
     for label in (0, 1):
         own = labelled_sample(docs, labels.where(F.col("toxic") == label), "toxic", sample).drop("doc_id")
         rows = own.mapInPandas(_packed, "terms binary, label int").toLocalIterator()
-        found += [(np.array([numbers.setdefault(t, len(numbers)) for t in bytes(r["terms"]).split(b" ")], np.int64), r["label"]) for r, _ in zip(rows, range(2 * sample))]
+        found += [(np.array([numbers.setdefault(t, len(numbers)) for t in bytes(r["terms"]).split(b" ")], np.int64), r["label"]) for r in rows]
     # The same order of rows and terms on any cluster.
     names = sorted(numbers)
     place = np.empty(len(names), np.int64)
@@ -170,8 +170,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = REJEC
 
     Defined cases: null, empty and blank texts have the bias alone and so one
     score; labels that are null or neither 0 nor 1, and ids without a text, are
-    no examples; a repeated labelled row counts as often as it occurs, up to
-    twice the sample; without voters every score is 0.  A row without doc_id is
+    no examples; rows that share a doc_id are one example; without voters every
+    score is 0.  A row without doc_id is
     scored, and held out is false.  An empty table gives an empty result;
     further columns are ignored.
     """
