@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a partial aggregate and an inner join, so a node with very many
-links is dealt over tasks by adaptive skew handling; links never go to the
-driver.  Each round is cut by a checkpoint.
+Every step is a partial aggregate and an inner join with it.  The large star
+meets nodes with very many links, so its aggregate is cut first: both sides of
+the join are then plain exchanges, and adaptive execution can split such a node
+over tasks.  Links never go to the driver, and each round ends in a checkpoint.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def _print(links: DataFrame) -> tuple:
 def _large_star(links: DataFrame) -> DataFrame:
     """Joins every larger neighbour of a node to the node's smallest neighbour."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
+    least = cut(both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m")))
     larger = both.where("v > u")
     return (
         larger.join(least, F.col("u") == F.col("w"))

@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     # Rows that share a doc_id are one document, whatever their texts.
     shared = features.where("doc_id is not null and n_shingles > 0").select("doc_id", "set_key").distinct()
-    shared = shared.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(shared.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"))
     tied = (
         shared.join(features.where("n_shingles > 0").select("doc_id", "set_key"), "doc_id")
         .join(classes.select("set_key", "node"), "set_key")
@@ -198,10 +198,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
     banded = classes.select("node", F.explode("bands").alias("bucket"))
-    counted = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    # An aggregate is cut before its join, so that both sides are exchanges and a crowded key can be split.
+    counted = cut(banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
     crowded = cut(banded.join(counted, "bucket"))
     central = crowded.groupBy("node").agg(F.sum("members").alias("weight"))
-    leaders = (
+    leaders = cut(
         crowded.join(central, "node")
         .groupBy("bucket")
         .agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
@@ -232,7 +233,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     apart = _apart(candidates, first, sets, percent)
     final = components(links.union(apart))
 
-    placed = classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
+    placed = cut(classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return features.join(placed, "set_key", "left").select(
         "doc_id",
@@ -246,7 +247,7 @@ def _apart(candidates: DataFrame, first: DataFrame, sets: DataFrame, percent: in
     """Links between components of one candidate cluster, found on the full sets in blocks."""
     clusters = components(candidates).withColumnRenamed("component", "cluster")
     members = clusters.join(first, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component"))
-    sizes = (
+    sizes = cut(
         members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
         .groupBy("cluster").agg(F.count("*").alias("parts"), F.sum("n").alias("n"))
         .where("parts > 1")
