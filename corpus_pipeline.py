@@ -23,19 +23,20 @@ from lattica.llm.toxicity import toxicity_scores
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs but those with a rejected doc_id; rows without doc_id stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = cut(rejected.where("doc_id is not null").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     scores = quality_scores(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, cut(scores.where("predicted = 0")))
+    return _without(docs, scores.where("predicted = 0"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier calls toxic go."""
     scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, cut(scores.where("predicted = 1")))
+    return _without(docs, scores.where("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
     hits = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, cut(hits.where("contaminated")))
+    return _without(docs, hits.where("contaminated"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
