@@ -64,7 +64,8 @@ def write_archives(captures: DataFrame, folder: str, date: str = "2024-01-01T00:
         F.regexp_replace(F.regexp_replace(F.col("url").cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumns({"bytes": F.octet_length("html"), "digest": F.sha2(F.col("html").cast("binary"), 256)})
-    firsts = (
+    # An aggregate is cut before its join, so that both sides are exchanges and a crowded digest can be split.
+    firsts = cut(
         rows.where(F.col("bytes") >= least)
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
@@ -276,7 +277,7 @@ def archived(pages: DataFrame) -> DataFrame:
     finally:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    firsts = captures.where("record_type = 'response'").groupBy(F.col("record_id").alias("first")).agg(F.min("page_id").alias("refers_to"))
+    firsts = cut(captures.where("record_type = 'response'").groupBy(F.col("record_id").alias("first")).agg(F.min("page_id").alias("refers_to")))
     return captures.join(firsts, F.col("named") == F.col("first"), "left").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
