@@ -180,7 +180,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, probes: int = 8, s
         )
     )
     in_cells = placed.withColumn("cell", F.explode("near")).withColumn("at_home", F.col("cell") == F.col("near")[0])
-    sizes = (
+    # An aggregate is cut before its join, so that both sides are exchanges and a crowded key can be split.
+    sizes = cut(
         placed.select("label", "dim", F.col("near")[0].alias("home"), F.explode("near").alias("cell"))
         .groupBy("label", "dim", "cell")
         .agg(F.count_if(F.col("home") == F.col("cell")).alias("homes"), F.count_if(F.col("home") != F.col("cell")).alias("guests"))
@@ -208,7 +209,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, probes: int = 8, s
     own = shared.where("vec_id = node").select("vec_id").distinct()
     several = tied.join(twice, "vec_id", "left_semi").union(tied.join(own, "vec_id", "left_semi"))
     links = found.where("v is not null").select("u", "v").union(several.select(F.col("vec_id").alias("u"), F.col("node").alias("v")))
-    groups = (
+    groups = cut(
         classes.join(counts, "node", "left")
         .join(components(links), "node", "left")
         .select("label", "embedding", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
