@@ -40,8 +40,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents that with the smallest doc_id stays, of its repeated rows one."""
-    groups = cut(near_duplicates(docs))
+    """Of documents with a similarity of 0.8 or more that with the smallest doc_id stays, of its repeated rows one."""
+    groups = cut(near_duplicates(docs, percent=80))
     kept = _without(docs, groups.where("not kept"))
     repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.limit(1).count():

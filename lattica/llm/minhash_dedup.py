@@ -1,8 +1,9 @@
 """Near-duplicate documents by MinHash, banding and verification on full sets.
 
 A document's set holds its distinct shingles of five words (lower-cased A-Z,
-words between ASCII white space).  156 universal hash minima make 26 bands of
-six rows: a pair at similarity 0.85 shares no band with a chance of 5e-6.
+words between ASCII white space).  156 universal hash minima make bands of as
+many rows, six at most, as let a pair at the threshold share no band with a
+chance of 1e-5 at most: 26 bands of six at 0.85 (5e-6), 31 of five at 0.80 (5e-6).
 
 Equal sets are one class from the start.  In each band's bucket every class is
 compared with one leader only, the class whose buckets hold most others: first
@@ -26,15 +27,17 @@ from lattica.llm.common import cut, finish, hashed, in_blocks, prepare, rolled,
 from lattica.llm.components import components
 
 WORDS = 5
-BANDS, ROWS = 26, 6
-#: Signature similarity below which a pair is not verified: 0.15 (5 deviations at 0.85) under the threshold.
+HASHES, ROWS = 156, 6
+#: The largest chance that a pair at the threshold shares no band.
+MISSED = 1e-5
+#: Signature similarity below which a pair is not verified: 0.15 (5 deviations at 0.85, 4.7 at 0.80) under the threshold.
 SLACK = 0.15
 #: Classes in a block of the comparison of what stayed apart.
 BLOCK = 384
 
 _SEED = np.random.default_rng(20240601)
-_A = _SEED.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _SEED.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_A = _SEED.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _SEED.integers(0, 2**63, HASHES, dtype=np.uint64)
 _C = _SEED.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -59,20 +62,33 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for shingles in shingle_sets(utf8(batch["text"])):
-            if not len(shingles):
-                rows.append((0, None, None, None))
-                continue
-            least = signature(shingles)
-            bands = finish((least.reshape(BANDS, ROWS) * _C).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-            key = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-            rows.append((len(shingles), key, (least >> np.uint64(48)).astype("<u2").tobytes(), bands.view(np.int64)))
-        out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "signature", "bands"])
-        out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-        yield out
+def band_rows(percent: int) -> int:
+    """The most rows of a band, ROWS at most, with which a pair at the threshold is missed no more often than MISSED."""
+    fitting = (r for r in range(ROWS, 0, -1) if (1 - (percent / 100) ** r) ** (HASHES // r) <= MISSED)
+    return next(fitting, 1)
+
+
+def _features(size: int):
+    """Set size, set key, signature and the hashes of its bands of ``size`` rows."""
+    count = HASHES // size
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for shingles in shingle_sets(utf8(batch["text"])):
+                if not len(shingles):
+                    rows.append((0, None, None, None))
+                    continue
+                least = signature(shingles)
+                banded = least[: count * size].reshape(count, size) * _C[:size]
+                bands = finish(banded.sum(axis=1, dtype=np.uint64) + np.arange(count, dtype=np.uint64))
+                key = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+                rows.append((len(shingles), key, (least >> np.uint64(48)).astype("<u2").tobytes(), bands.view(np.int64)))
+            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "signature", "bands"])
+            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+            yield out
+
+    return run
 
 
 _FEATURES = "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>"
@@ -177,7 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = cut(docs.mapInPandas(_features, _FEATURES))
+    features = cut(docs.mapInPandas(_features(band_rows(percent)), _FEATURES))
     classes = cut(
         features.where("doc_id is not null and n_shingles > 0")
         .groupBy("set_key")

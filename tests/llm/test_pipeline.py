@@ -120,3 +120,15 @@ def test_queries_return_a_row_per_row(spark, name):
     of = {"op1": "pages", "op4": "pages", "op10": "pages", "op7": "embeddings"}.get(name.split("_")[0], "documents")
     if not name.startswith("op8_"):
         assert done.count() == table(spark, SMALL, of).count()
+
+
+def test_near_dedup_holds_pairs_to_four_fifths(spark):
+    words = [f"w{k}" for k in range(94)]  # 90 shingles
+    near = {n: " ".join(words[:-n] + [f"x{n}y{k}" for k in range(n)]) for n in (9, 12)}  # 81 of 99 shared, 78 of 102
+    docs = {1: " ".join(words), 2: near[9], 3: near[12]}
+    sets = {d: brute.shingles(t) for d, t in docs.items()}
+    assert 0.80 <= len(sets[1] & sets[2]) / len(sets[1] | sets[2]) < 0.85 and len(sets[1] & sets[3]) / len(sets[1] | sets[3]) < 0.80
+    rows = [(d, t, "en", "s", len(t)) for d, t in docs.items()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    expected = brute.near_duplicates(docs, percent=80)
+    assert ids(corpus_pipeline.near_dedup(spark, frame, SMALL)) == sorted(d for d, (_, component) in expected.items() if d == component) == [1, 3]
