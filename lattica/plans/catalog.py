@@ -78,6 +78,12 @@ def select_many_props(spark, sf):
     return docs.select_many(scalar.split_on(F.col("text"), " "), "word", ["doc_id"]).select("doc_id", "word", F.length("word").alias("size")).frame
 
 
+@query("select doc_id, word, length(word)::int as size from (select doc_id, unnest(string_split(text, ' ')) as word from documents)")
+def select_many_words(spark, sf):
+    words = _set(spark, sf, "documents").select_many(scalar.split_on(F.col("text"), " "), "word", ["doc_id"])
+    return words.select("doc_id", "word", F.length("word").alias("size")).frame
+
+
 @query("select doc_id, length(text)::int as size from documents where contains(text, 'the') and not starts_with(text, 'A')")
 def text_filter(spark, sf):
     docs = _set(spark, sf, "documents").where(F.contains("text", F.lit("the")) & ~F.startswith("text", F.lit("A")))

@@ -39,3 +39,8 @@ def test_query(spark, duck, name):
     assert sorted(columns) == sorted(ours.columns)
     names = sorted(columns)
     assert rows(ours.collect(), ours.columns, names) == rows(theirs.fetchall(), columns, names)
+
+
+def test_words_of_every_document(spark, duck):
+    words = catalog.queries()["select_many_words"](spark, SMALL)
+    assert words.select("doc_id").distinct().count() == duck.execute("select count(*) from documents").fetchone()[0]
