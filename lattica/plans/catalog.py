@@ -137,6 +137,12 @@ def select_many_indexed(spark, sf):
     return _events(spark, sf).select_many_indexed(items, "item", ["event_id"]).where(F.col("idx") < 500).frame
 
 
+@query("select idx, event_id, unnest([event_type, user_id::varchar]) as item from (select *, row_number() over (order by event_id) - 1 as idx from events)")
+def select_many_indexed_whole(spark, sf):
+    items = F.array(F.col("event_type"), F.col("user_id").cast("string"))
+    return _events(spark, sf).select_many_indexed(items, "item", ["event_id"]).frame
+
+
 # ---- joins ----
 
 

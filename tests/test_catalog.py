@@ -44,3 +44,8 @@ def test_query(spark, duck, name):
 def test_words_of_every_document(spark, duck):
     words = catalog.queries()["select_many_words"](spark, SMALL)
     assert words.select("doc_id").distinct().count() == duck.execute("select count(*) from documents").fetchone()[0]
+
+
+def test_items_of_every_event(spark, duck):
+    items = catalog.queries()["select_many_indexed_whole"](spark, SMALL)
+    assert items.count() == 2 * duck.execute("select count(*) from events").fetchone()[0]
