@@ -72,18 +72,26 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _agreeing(text: list[bytes], template: list[bytes], gap: tuple[int, int, int, int], start: bool, end: bool) -> tuple[list[tuple[int, int]], int, int, int, int]:
+    """Pairs of an agreeing start and end of the gap, as asked for, and what is left of it."""
+    (a, b, c, d), out = gap, []
+    while start and a < b and c < d and text[a] == template[c]:
+        out.append((a, c))
+        a, c = a + 1, c + 1
+    while end and a < b and c < d and text[b - 1] == template[d - 1]:
+        b, d = b - 1, d - 1
+        out.append((b, d))
+    return out, a, b, c, d
+
+
 def align(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
     """Aligned (text position, template position) pairs, rising in both."""
-    out, gaps = [], [(0, len(text), 0, len(template))]
+    # start, end: whether an anchor is there; where the text begins or ends, words that agree may be chance.
+    out, gaps = [], [((0, len(text), 0, len(template)), False, False)]
     while gaps:
-        a, b, c, d = gaps.pop()
-        begin = len(out)
-        while a < b and c < d and text[a] == template[c]:  # an agreeing start
-            out.append((a, c))
-            a, c = a + 1, c + 1
-        while a < b and c < d and text[b - 1] == template[d - 1]:  # an agreeing end
-            b, d = b - 1, d - 1
-            out.append((b, d))
+        gap, start, end = gaps.pop()
+        pairs, a, b, c, d = _agreeing(text, template, gap, start, end)
+        out += pairs
         if a == b or c == d:
             continue
         wanted = Counter(template[c:d])
@@ -94,12 +102,15 @@ def align(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
         anchors = sorted((places[w][0], k) for k, w in enumerate(template[c:d], c) if wanted[w] == 1 and len(places.get(w, ())) == 1)
         kept = _increasing(anchors)
         if not kept:
-            if len(out) == begin and len(places):
-                out += _nearest(places, template, c, d)
+            if places:
+                loose = _agreeing(text, template, (a, b, c, d), not start, not end)[0]
+                out += max(_nearest(places, template, c, d), loose, key=len)
             continue
         out += kept
         edges = [(a - 1, c - 1), *kept, (b, d)]
-        gaps += [(p + 1, r, q + 1, s) for (p, q), (r, s) in zip(edges, edges[1:], strict=False) if r - p > 1 and s - q > 1]
+        for k, ((p, q), (r, s)) in enumerate(zip(edges, edges[1:], strict=False)):
+            if r - p > 1 and s - q > 1:
+                gaps.append(((p + 1, r, q + 1, s), start or k > 0, end or k < len(kept)))
     return sorted(set(out))
 
 

@@ -120,6 +120,19 @@ def test_licenses_against_plain_search(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeated_notices_in_texts_that_begin_or_end_with_a_template_word(spark):
+    rows, names = [], list(TEMPLATES)
+    for k, name in enumerate(names):
+        words = words_of(TEMPLATES[name].encode())
+        first, last = words[0].decode(), words[-1].decode()
+        twice = f"report tells {TEMPLATES[name]} between them {TEMPLATES[name]} and so on"
+        rows += [(10 * k, f"{first} {twice}"), (10 * k + 1, f"{twice} {last}"), (10 * k + 2, f"{first} {twice} {last}")]
+        rows += [(10 * k + 3, f"{first} report tells {TEMPLATES[name]} and so on {last}")]
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        name = names[r["doc_id"] // 10]
+        assert [h["coverage"] for h in r["hits"] if h["license"] == name] == [1.0], (name, r["doc_id"])
+
+
 # ---- classifiers ----
 
 
