@@ -44,12 +44,16 @@ CLOSES = {
 #: Where the search for an element to close ends.
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|sidebar\w*|side-?bar|widget\w*|comments?|"
+HINTS = (
+    r"(?:ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|sidebar\w*|side-?bar|widget\w*|comments?|"
     r"commentlist|respond|replies|disqus\w*|discussion|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|"
     r"overlay|newsletter|subscribe|signup|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|toolbar|share|sharing|"
-    r"social|related|recommended|footer|masthead|site-?header|page-?header|topbar|skip-?link)(?:$|[\s_-])"
+    r"social|related|recommended|footer|masthead|site-?header|page-?header|topbar|skip-?link)"
 )
+#: A class or id that names furniture begins or ends with a hint.
+HINTED = re.compile(rf"{HINTS}(?:$|[_-])|.*[_-]{HINTS}$", re.S)
+#: Those that tell of a page's layout or state don't name what the element is.
+STATE = re.compile(r"(?:^|[_-])(?:has|is|no|not|with|without|show|hide)[_-]|[_-](?:open|opened|closed|enabled|disabled|active|on|off)$")
 WHOLE = {"article", "main", "body", "html"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -57,19 +61,21 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 INSIDE_LINKS = 0.6
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
+def _judged(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether the element is furniture, and whether a class or id hints that it is."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return True, False
     if not attributes or tag in WHOLE:
-        return False
+        return False, False
     found = {}
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), html.unescape(a or b or c))
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
-        return True
+        return True, False
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()):
-        return True
-    return any(HINTS.search(found.get(name, "").lower()) for name in ("class", "id"))
+        return True, False
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    return False, any(HINTED.match(n) and not STATE.search(n) for n in names)
 
 
 class Page:
@@ -78,6 +84,7 @@ class Page:
     def __init__(self, source: str):
         self.tags, self.parents, self.ends = ["body"], [-1], [0]
         self.texts: list[tuple[int, int, str]] = []
+        self.hinted: list[int] = []
         self.block = 0
         stack: list[tuple[str, int]] = [("body", 0)]  # (tag, node; -1: left out)
         out = 0  # open elements that are left out
@@ -140,10 +147,13 @@ class Page:
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
                 at = end.start() if end else len(source)
-            if out or _left_out(tag, token[3], any(t == "article" for t, _ in stack)):
+            furniture, hinted = (True, False) if out else _judged(tag, token[3], any(t == "article" for t, _ in stack))
+            if furniture:
                 stack.append((tag, -1))
                 out += 1
                 continue
+            if hinted:
+                self.hinted.append(len(self.tags))
             self.tags.append(tag)
             self.parents.append(stack[-1][1])
             self.ends.append(0)
@@ -153,6 +163,44 @@ class Page:
         source = source[: at + cut.start()] if cut else source
         text(len(source))
         close(0)
+        if self.hinted:
+            self._leave_out()
+
+    def _leave_out(self) -> None:
+        """Drops hinted elements, but none that holds the page's article.
+
+        That is one around main or the largest article, or on a page with
+        neither outside it, one with most of the body's characters that are no
+        links.
+        """
+        n = len(self.tags)
+        in_link = [False] * n
+        for k in range(1, n):
+            in_link[k] = self.tags[k] == "a" or in_link[self.parents[k]]
+        own = [0] * n
+        for node, _, piece in self.texts:
+            own[node] += sum(map(len, piece.split())) * (not in_link[node])
+        before = [0]
+        for size in own:
+            before.append(before[-1] + size)
+        plain = lambda k: before[self.ends[k] + 1] - before[k]
+        articles = [k for k in range(n) if self.tags[k] == "article"]
+        held = [k for k in range(n) if self.tags[k] == "main"] + ([max(articles, key=lambda k: (plain(k), -k))] if articles else [])
+        keep, until = [True] * n, -1
+        for k in self.hinted:
+            end = self.ends[k]
+            if k <= until or any(k < h <= end for h in held) or not held and 2 * plain(k) > before[-1]:
+                continue
+            keep[k : end + 1] = [False] * (end + 1 - k)
+            until = end
+        place = [-1]
+        for kept in keep:
+            place.append(place[-1] + kept)
+        place = place[1:]
+        self.texts = [(place[node], block, piece) for node, block, piece in self.texts if keep[node]]
+        self.ends = [place[self.ends[k]] for k in range(n) if keep[k]]
+        self.parents = [place[p] if p >= 0 else -1 for p, kept in zip(self.parents, keep, strict=True) if kept]
+        self.tags = [t for t, kept in zip(self.tags, keep, strict=True) if kept]
 
     def densities(self) -> tuple[list[float], list[float], list[tuple[int, int, int]]]:
         """Composite text density of each node, the sum over its children, and (chars, link chars, links)."""

@@ -259,6 +259,18 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+LAYOUTS = ["site-content has-sidebar", "no-sidebar", "comments-open", "modal-open", "with-nav", "content-with-sidebar", "sidebar-layout", "widget"]
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+@pytest.mark.parametrize("inner", [f"<article>{BODY}</article>", f"<main>{BODY}</main>", BODY])
+@pytest.mark.parametrize("attribute", ["class", "id"])
+def test_layout_wrappers_keep_the_article(name, inner, attribute):
+    furniture = "<div class='main-nav'><p>Pick</p></div><div id=comments><article><p>I disagree.</p></article></div><div class='site-footer'>Imprint</div>"
+    rest = "<div class='sidebar-left'>Side words</div>" + (furniture if inner != BODY else furniture.replace("article", "section"))
+    assert main_text(f"<body><div {attribute}='{name}'>{inner}{rest}</div></body>") == TEXT
+
+
 def test_extraction_keeps_rows(spark):
     rows = [(k, "u", page, "t") for k, (page, _) in enumerate(PAGES)] + [(None, None, "<p>é😀</p>", "t")] * 2
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
