@@ -68,6 +68,10 @@ def band_rows(percent: int) -> int:
     return next(fitting, 1)
 
 
+def _set_key(packed: bytes) -> bytes:
+    return hashlib.blake2b(packed, digest_size=16).digest()
+
+
 def _features(size: int):
     """Set size, set key, signature and the hashes of its bands of ``size`` rows."""
     count = HASHES // size
@@ -82,8 +86,7 @@ def _features(size: int):
                 least = signature(shingles)
                 banded = least[: count * size].reshape(count, size) * _C[:size]
                 bands = finish(banded.sum(axis=1, dtype=np.uint64) + np.arange(count, dtype=np.uint64))
-                key = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-                rows.append((len(shingles), key, (least >> np.uint64(48)).astype("<u2").tobytes(), bands.view(np.int64)))
+                rows.append((len(shingles), _set_key(shingles.tobytes()), (least >> np.uint64(48)).astype("<u2").tobytes(), bands.view(np.int64)))
             out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "signature", "bands"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield out
@@ -126,7 +129,7 @@ def _linked(percent: int):
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         packed = [s.tobytes() for s in shingle_sets(utf8(batch["text"]))]
-        yield pd.DataFrame({"node": batch["doc_id"], "shingles": packed})
+        yield pd.DataFrame({"set_key": [_set_key(s) for s in packed], "shingles": packed})
 
 
 def _across(percent: int):
@@ -198,20 +201,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         features.where("doc_id is not null and n_shingles > 0")
         .groupBy("set_key")
         .agg(
-            F.min("doc_id").alias("node"),
+            F.min("doc_id").alias("doc_id"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("signature").alias("signature"),
             F.first("bands").alias("bands"),
         )
+        # A number of the class's own: classes whose smallest doc_id is the same stay apart.
+        .withColumn("node", F.monotonically_increasing_id())
     )
     # Rows that share a doc_id are one document, whatever their texts.
     shared = features.where("doc_id is not null and n_shingles > 0").select("doc_id", "set_key").distinct()
     shared = cut(shared.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"))
-    tied = (
+    several = cut(
         shared.join(features.where("n_shingles > 0").select("doc_id", "set_key"), "doc_id")
         .join(classes.select("set_key", "node"), "set_key")
-        .select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+        .select("doc_id", "node")
+        .distinct()
     )
+    tied = several.join(cut(several.groupBy("doc_id").agg(F.min("node").alias("u"))), "doc_id").select("u", F.col("node").alias("v"))
 
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     # An aggregate is cut before its join, so that both sides are exchanges and a crowded key can be split.
@@ -237,8 +244,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .where(100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n"))
         .mapInPandas(_agreeing(percent / 100 - SLACK), "u long, v long")
     )
-    wanted = crowded.select(F.col("node").alias("doc_id")).distinct()
-    sets = cut(docs.join(wanted, "doc_id", "left_semi").mapInPandas(_sets, "node long, shingles binary").dropDuplicates(["node"]))
+    wanted = cut(cut(crowded.select("node").distinct()).join(classes.select("node", "doc_id", "set_key"), "node"))
+    sets = cut(
+        docs.join(wanted, "doc_id", "left_semi")
+        .mapInPandas(_sets, "set_key binary, shingles binary")
+        .dropDuplicates(["set_key"])
+        .join(wanted.select("set_key", "node"), "set_key")
+        .select("node", "shingles")
+    )
     verified = cut(
         close.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("u_set")), "u")
         .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("v_set")), "v")
@@ -249,7 +262,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     apart = _apart(candidates, first, sets, percent)
     final = components(links.union(apart))
 
-    placed = cut(classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")))
+    linked = cut(final.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    named = final.join(linked, "component").select("node", "component_id")
+    placed = cut(classes.join(named, "node", "left").select("set_key", F.coalesce("component_id", "doc_id").alias("component_id")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return features.join(placed, "set_key", "left").select(
         "doc_id",

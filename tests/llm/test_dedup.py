@@ -72,6 +72,17 @@ def test_near_duplicates_of_repeated_rows_and_rows_without_id(spark):
     ]
 
 
+def test_near_duplicates_of_rows_that_share_an_id_but_not_a_text(spark):
+    rows, expected = [], []
+    for k in range(10, 130, 10):
+        text = [f"t{k}w{n}" for n in range(120)]
+        own = [(k, " ".join(text)), (k, f"other {k} and not the same text"), (k, "")]
+        rows += (own if k % 20 else own[::-1]) + [(k + 1, " ".join(text[:-1] + ["end"]))]
+        expected += [(k, k, True)] * 3 + [(k + 1, k, False)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == expected
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
     assert empty.count() == 0 and empty.columns == ["doc_id", "n_shingles", "component_id", "kept"]
