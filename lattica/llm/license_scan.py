@@ -20,7 +20,7 @@ from lattica.llm.common import prepare, utf8
 
 COVERAGE = 0.8
 
-#: Notices of public licenses, each as its license words it.
+#: Five short notices, Apache's header, and MIT and ISC without their "AS IS" parts; no other license.
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
