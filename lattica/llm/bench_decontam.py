@@ -10,16 +10,13 @@ of any size fits the executors; a usual one is a single part.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, hashed, in_blocks, prepare, rolled, utf8
+from lattica.llm.common import cut, drop, hashed, in_blocks, known, prepare, rolled, through
 
 WINDOW = 10
 #: Windows in one broadcast part: about 400 bytes each in a worker, so 80 MB at most.
@@ -36,17 +33,16 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def _item_windows(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for item, text in zip(batch["item_id"], utf8(batch["text"]), strict=True):
-                words = words_of(text)
-                n = min(size, len(words))
-                for k in range(len(words) - n + 1 if n else 0):
-                    out.append((item, n, b" ".join(words[k : k + n])))
-            yield pd.DataFrame(out, columns=["item_id", "size", "words"]).drop_duplicates()
+    def step(texts: list) -> dict:
+        out = []
+        for text in known(texts):
+            words = words_of(text)
+            n = min(size, len(words))
+            runs = {b" ".join(words[k : k + n]) for k in range(len(words) - n + 1)} if n else ()
+            out.append([{"size": n, "words": w} for w in sorted(runs)])
+        return {"windows": out}
 
-    return run
+    return lambda: step
 
 
 class Windows:
@@ -79,75 +75,62 @@ class Windows:
 
 
 def _scan(shared):
-    """(doc columns, n_words, marks of hit words as packed bits, items)."""
+    """Number of words, marks of hit words as packed bits, their number, and the items."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def step(texts: list) -> dict:
         windows: Windows = shared.value
-        for batch in batches:
-            texts = utf8(batch["text"])
-            counts, marks, items = [], [], []
-            for begin, end in in_blocks(texts):
-                split = [words_of(t) for t in texts[begin:end]]
-                hashes, at = hashed([w for words in split for w in words]), 0
-                for words in split:
-                    inside, found = windows.hits(words, hashes[at : at + len(words)])
-                    at += len(words)
-                    counts.append(len(words))
-                    marks.append(np.packbits(inside).tobytes() if inside.any() else None)
-                    items.append(sorted(found))
-            out = batch.drop(columns="text").reset_index(drop=True)
-            yield out.assign(n_words=counts, marks=marks, items=items)
-
-    return run
-
-
-def _spans(marks: list[bytes | None], n_words: int) -> np.ndarray:
+        out = {"n_words": [], "n_hit": [], "marks": [], "items": []}
+        texts = known(texts)
+        for begin, end in in_blocks(texts):
+            split = [words_of(t) for t in texts[begin:end]]
+            hashes, at = hashed([w for words in split for w in words]), 0
+            for words in split:
+                inside, found = windows.hits(words, hashes[at : at + len(words)])
+                at += len(words)
+                out["n_words"].append(len(words))
+                out["n_hit"].append(int(inside.sum()))
+                out["marks"].append(np.packbits(inside).tobytes() if inside.any() else None)
+                out["items"].append(sorted(found))
+        return out
+
+    return lambda: step
+
+
+def _joined(marks: list[bytes | None] | None) -> bytes | None:
     """The marks of several parts together."""
-    inside = np.zeros(n_words, bool)
-    for m in marks:
-        if m is not None:
-            inside |= np.unpackbits(np.frombuffer(m, np.uint8))[:n_words].astype(bool)
-    return inside
-
-
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        hits, names, sha = [], [], []
-        for marks, n, items in zip(batch["marks"], batch["n_words"], batch["items"], strict=True):
-            hits.append(int(_spans(list(marks), int(n)).sum()))
-            found = sorted({i for part in items for i in part})
-            names.append(len(found))
-            sha.append(hashlib.sha256(",".join(found).encode()).hexdigest())
-        out = batch.drop(columns=["marks", "items"]).assign(n_hit=hits, n_items=names, items_sha256=sha)
-        yield out.assign(contaminated=out["n_hit"] > 0)
-
-
-def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    own = [np.frombuffer(m, np.uint8) for m in marks or () if m is not None]
+    return np.bitwise_or.reduce(own).tobytes() if own else None
+
+
+def _counted(rows: list) -> dict:
+    return {"n_hit": [int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) if (m := _joined(r)) else 0 for r in rows]}
+
+
+def _without(rows: list) -> dict:
     """Texts without their hit words; the rest, punctuation included, stays as it is."""
-    for batch in batches:
-        texts = []
-        for text, marks, n in zip(batch["text"], batch["marks"], batch["n_words"], strict=True):
-            inside = _spans(list(marks), int(n)) if marks is not None else ()
-            if not np.any(inside):
-                texts.append(text)
-                continue
-            raw = text.encode("utf-8", "surrogatepass")
-            folded, at, kept, done = raw.translate(_FOLD), 0, [], 0
-            for word, hit in zip(folded.split(), inside, strict=True):
-                at = folded.index(word, at)
-                if hit:
-                    kept.append(raw[done:at])
-                    done = at + len(word)
-                at += len(word)
-            texts.append(b"".join([*kept, raw[done:]]).decode("utf-8", "surrogatepass"))
-        yield batch.drop(columns=["marks", "n_words"]).assign(text=texts)
+    texts = []
+    for row in rows:
+        marks = _joined(row["marks"])
+        if marks is None:
+            texts.append(row["text"])
+            continue
+        raw = row["text"].encode("utf-8", "surrogatepass")
+        folded, at, kept, done = raw.translate(_FOLD), 0, [], 0
+        for word, hit in zip(folded.split(), np.unpackbits(np.frombuffer(marks, np.uint8)), strict=False):
+            at = folded.index(word, at)
+            if hit:
+                kept.append(raw[done:at])
+                done = at + len(word)
+            at += len(word)
+        texts.append(b"".join([*kept, raw[done:]]).decode("utf-8", "surrogatepass"))
+    return {"text": texts}
 
 
 def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """benchmark (item_id, text, ...) to its distinct windows (size, words, items as strings)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    rows = items.where("item_id is not null").mapInPandas(_item_windows(size), "item_id string, size int, words binary")
-    return rows.groupBy("size", "words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    rows = through(items.where("item_id is not null"), "windows array<struct<size: int, words: binary>>", _item_windows(size)).select("item_id", F.explode("windows").alias("w"))
+    return rows.groupBy("w.size", "w.words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
 def _parts(windows: DataFrame, most: int) -> Iterator[Windows]:
@@ -158,15 +141,32 @@ def _parts(windows: DataFrame, most: int) -> Iterator[Windows]:
         yield Windows([(r["size"], bytes(r["words"]), r["items"]) for r in part.toLocalIterator()])
 
 
-def _broadcast(spark: SparkSession, benchmark: DataFrame, size: int, most: int) -> list:
-    prepare(spark)
-    return [spark.sparkContext.broadcast(w) for w in _parts(item_windows(benchmark, size), most)]
-
+def scanned(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = PART_WINDOWS) -> DataFrame:
+    """docs, each row with a further column ``lattica``: (n_words, n_hit, marks: one of each part, items).
 
-def _marked(docs: DataFrame, part) -> DataFrame:
-    """docs with n_words, marks and items in place of text."""
-    fields = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes if c != "text")
-    return docs.mapInPandas(_scan(part), f"{fields}, n_words long, marks binary, items array<string>")
+    Each part is one narrow pass over the rows as they come; with several parts
+    a pass's rows are cut before the next, so a task holds one part at a time.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    names, before = [f"c{k}" for k in range(len(docs.columns))], None
+    plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]).cast("string"))
+    none = "cast(array() as array<string>)"
+    frame = plain.withColumn("so_far", F.expr(f"struct(0L as n_words, 0L as n_hit, cast(array() as array<binary>) as marks, {none} as items)"))
+    for k, windows in enumerate(_parts(item_windows(benchmark, size), most)):
+        if k:
+            frame = cut(frame)
+            if before is not None:
+                drop(before)
+            before = frame
+        made = through(frame, "n_words long, n_hit long, marks binary, items array<string>", _scan(spark.sparkContext.broadcast(windows)), kept=[*names, "text", "so_far"])
+        marks = F.when(F.col("marks").isNull(), F.col("so_far.marks")).otherwise(F.array_append("so_far.marks", F.col("marks")))
+        items = F.array_sort(F.array_distinct(F.concat("so_far.items", "items")))
+        frame = made.select(*names, "text", F.struct("n_words", "n_hit", marks.alias("marks"), items.alias("items")).alias("so_far"))
+    if before is not None:
+        frame = through(frame.withColumn("marks", F.col("so_far.marks")), "n_hit long", lambda: _counted, column="marks", kept=[*names, "so_far"])
+        frame = frame.withColumn("so_far", F.col("so_far").withField("n_hit", F.col("n_hit")))
+    return frame.select(*names, "so_far").toDF(*docs.columns, "lattica")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = PART_WINDOWS) -> DataFrame:
@@ -176,38 +176,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, mos
     without words or without item_id have no windows; equal windows of several
     items count for each; an empty benchmark hits nothing and an empty table
     gives an empty result.  Rows are kept as they come, repeated ones and those
-    without doc_id included (where the benchmark takes several parts, repeated
-    rows are told apart by a row number); further columns are ignored.
+    without doc_id included; further columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = _broadcast(docs.sparkSession, benchmark, size, most)
-    if len(parts) == 1:
-        scans = _marked(docs, parts[0]).withColumns({"marks": F.array("marks"), "items": F.array("items")})
-    else:
-        numbered = cut(docs.withColumn("row", F.monotonically_increasing_id()))
-        scans = reduce(DataFrame.union, [_marked(numbered, part) for part in parts])
-        scans = (
-            scans.groupBy("row")
-            .agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("marks").alias("marks"), F.collect_list("items").alias("items"))
-            .drop("row")
-        )
-    return scans.mapInPandas(
-        _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return scanned(narrow, benchmark, size, most).select(
+        "doc_id",
+        "lattica.n_words",
+        "lattica.n_hit",
+        F.size("lattica.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("lattica.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("lattica.n_hit") > 0).alias("contaminated"),
     )
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def without_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = PART_WINDOWS) -> DataFrame:
     """The same rows and columns with the hit words cut out of each text; other columns stay as they are.
 
-    Parts of a large benchmark are cut one after another, so a window that an
-    earlier part has cut into is gone when a later part looks for it.
+    The marks of all parts are joined before anything is cut, so the result
+    doesn't depend on the parts' size.
     """
-    names, kind = docs.columns, dict(docs.dtypes)
-    for part in _broadcast(docs.sparkSession, benchmark, size, PART_WINDOWS):  # what an earlier part has cut can't be hit again
-        plain = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
-        texts = f"c{names.index('text')}"
-        marked = _marked(plain.withColumn("text", F.col(texts)), part).withColumnRenamed(texts, "text")
-        rest = ", ".join(f"{'text' if f'c{k}' == texts else f'c{k}'} {kind[c]}" for k, c in enumerate(names))
-        done = marked.withColumn("marks", F.array("marks")).drop("items").mapInPandas(_without, rest)
-        docs = done.select(*[F.col("text" if f"c{k}" == texts else f"c{k}").alias(c) for k, c in enumerate(names)])
-    return docs
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+    found = scanned(docs, benchmark, size, most).toDF(*names, "lattica")
+    rows = found.select(*names, F.struct(F.col(text).cast("string").alias("text"), F.col("lattica.marks").alias("marks")).alias("row"))
+    done = through(rows, "text string", lambda: _without, column="row", kept=[n for n in names if n != text])
+    return done.select(*["text" if n == text else n for n in names]).toDF(*docs.columns)

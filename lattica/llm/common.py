@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows in a batch that goes to Python; texts can be long, so fewer than Spark's 10 000.
-ARROW_ROWS = 256
+#: Rows that a worker turns into Python values at once; texts can be long, so fewer than come in a batch.
+SLICE_ROWS = 256
 #: Bytes of text that are tokenised at once.
 BLOCK_BYTES = 2 << 20
+#: Shuffle files go when a cut is written, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _MIX = np.array(
     [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -27,9 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small batches to Python, and a checkpoint folder where the cluster names none (tests)."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """A checkpoint folder where the cluster names none (tests)."""
     if shared_folder(spark) is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
@@ -42,9 +45,54 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from reliable storage: what made them is not run again."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows from reliable storage: what made them is not run again, and its shuffle files go."""
+    spark = df.sparkSession
+    prepare(spark)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, which reads the setting
+    finally:
+        spark.conf.set(_CLEANUP, was)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a cut that nothing reads any more; Spark's cleaner would find them later, if set to."""
+    files = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if files.isDefined():
+        remove(df.sparkSession, files.get())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def through(df: DataFrame, fields: str, work: Callable[[], Callable[[list], dict]], column: str = "text", kept: list[str] | None = None) -> DataFrame:
+    """df's ``kept`` columns (by default all but ``column``) and ``fields``, which Python makes of ``column``.
+
+    Kept columns stay Arrow arrays, so nulls and large integers come through as
+    they are.  work() runs once a task and returns what maps a list of at most
+    SLICE_ROWS values (UTF-8 bytes for a string column) to lists by field name.
+    """
+    kept = [c for c in df.columns if c != column] if kept is None else kept
+    types = {f.name: f for f in df.schema.fields}
+    made = T.StructType.fromDDL(fields)
+    schema = T.StructType([*(types[c] for c in kept), *made.fields])
+    arrow = to_arrow_schema(made)
+    text = isinstance(types[column].dataType, T.StringType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = work()
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(k, SLICE_ROWS)
+                values = part.column(column)
+                found = step((values.cast(pa.large_binary()) if text else values).to_pylist())
+                own = [pa.array(found[f.name], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *own], names=[f.name for f in schema.fields])
+
+    return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, column])]).mapInArrow(run, schema)
 
 
 def crc_bucket(column: str = "doc_id"):
@@ -87,5 +135,10 @@ def in_blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def known(texts: list[bytes | None]) -> list[bytes]:
+    """The texts, null ones empty."""
+    return [t or b"" for t in texts]
+
+
 def utf8(values) -> list[bytes]:
     return [b"" if v is None or v != v else v.encode("utf-8", "surrogatepass") for v in values]

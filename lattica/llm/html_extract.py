@@ -13,13 +13,11 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import prepare
+from lattica.llm.common import known, through
 
 #: Fixed values of HTML: elements without content, and those that start a block.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -268,10 +266,9 @@ def main_text(source: str | None) -> str:
     return Page(source).article() if source else ""
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = [main_text(s) for s in batch["html"]]
-        yield batch.drop(columns="html").assign(text=texts, n_chars=[len(t) for t in texts])
+def _extract(pages: list) -> dict:
+    texts = [main_text(p.decode("utf-8", "replace")) for p in known(pages)]
+    return {"text": texts, "n_chars": [len(t) for t in texts]}
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -283,7 +280,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
     page_id and url pass through, repeated rows are extracted each; an empty
     table gives an empty result.  Further columns are ignored.
     """
-    prepare(pages.sparkSession)
-    kind = dict(pages.dtypes)["page_id"]
     narrow = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return narrow.mapInPandas(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    return through(narrow, "text string, n_chars long", lambda: _extract, column="html")

@@ -10,13 +10,11 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import prepare, utf8
+from lattica.llm.common import known, through
 
 COVERAGE = 0.8
 
@@ -164,23 +162,22 @@ def coverage(text: list[bytes], counts: Counter, template: list[bytes], need: Co
 def _scan(templates: dict[str, list[bytes]], least: float):
     needs = {name: Counter(words) for name, words in templates.items()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for text in utf8(batch["text"]):
-                words = words_of(text)
-                counts = Counter(words)
-                hits = []
-                for name, template in templates.items():
-                    share, first, last = coverage(words, counts, template, needs[name], least)
-                    if share >= least:
-                        hits.append({"license": name, "coverage": share, "first_word": first, "last_word": last})
-                hits.sort(key=lambda h: (-h["coverage"], -len(templates[h["license"]]), h["license"]))
-                found.append((len(words), hits))
-            out = batch.drop(columns="text")
-            yield out.assign(n_words=[n for n, _ in found], hits=[h for _, h in found])
-
-    return run
+    def step(texts: list) -> dict:
+        out = {"n_words": [], "hits": []}
+        for text in known(texts):
+            words = words_of(text)
+            counts = Counter(words)
+            hits = []
+            for name, template in templates.items():
+                share, first, last = coverage(words, counts, template, needs[name], least)
+                if share >= least:
+                    hits.append({"license": name, "coverage": share, "first_word": first, "last_word": last})
+            hits.sort(key=lambda h: (-h["coverage"], -len(templates[h["license"]]), h["license"]))
+            out["n_words"].append(len(words))
+            out["hits"].append(hits)
+        return out
+
+    return lambda: step
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
@@ -195,11 +192,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     doc_id and repeated rows are scanned like others; an empty table gives an
     empty result; further columns are ignored.
     """
-    prepare(docs.sparkSession)
     chosen = {name: words_of(t.encode()) for name, t in (TEMPLATES if templates is None else templates).items()}
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hit = "struct<license: string, coverage: double, first_word: long, last_word: long>"
-    found = narrow.mapInPandas(_scan(chosen, least), f"doc_id long, n_words long, hits array<{hit}>")
+    found = through(narrow, f"n_words long, hits array<{hit}>", _scan(chosen, least))
     first = F.get("hits", F.lit(0))
     return found.select(
         "doc_id",

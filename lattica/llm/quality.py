@@ -13,16 +13,17 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import crc_bucket, finish, hashed, in_blocks, prepare, rolled, utf8
+from lattica.llm.common import crc_bucket, finish, hashed, in_blocks, known, rolled, through
 from lattica.llm.ftrl import Ftrl, sigmoid, summed
 
 BITS = 18
 #: Labelled rows that the model is fitted on at most.
 SAMPLE = 4096
+#: Bytes of feature indices of those rows that the driver holds at most.
+FIT_BYTES = 128 << 20
 EPOCHS = 6
 LAGS = 8
 #: Documents score this or more to be kept.
@@ -52,11 +53,9 @@ def _vectors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.concatenate([[0], at.astype(np.int64)]), np.concatenate([[1.0], x])
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [(at.astype("<i4").tobytes(), x.astype("<f4").tobytes()) for at, x in _vectors(utf8(batch["text"]))]
-        out = pd.DataFrame(rows, columns=["at", "x"])
-        yield out.assign(label=batch["label"].to_numpy())
+def _packed(texts: list) -> dict:
+    rows = [(at.astype("<i4").tobytes(), x.astype("<f4").tobytes()) for at, x in _vectors(known(texts))]
+    return {"at": [at for at, _ in rows], "x": [x for _, x in rows]}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
@@ -64,18 +63,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int)
 
     Rows that share a doc_id are one example, with the smallest of their texts.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
-    known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (crc_bucket() != 0))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "label").limit(most)
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (crc_bucket() != 0))
+    chosen = rows.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "label").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most ``most`` ids go to each executor.
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> np.ndarray | None:
+def bounded(rows: DataFrame, key: str, size: str, most: int) -> list:
+    """Rows of at most ``most`` bytes together (those with the smallest hashes of ``key``), sorted by it."""
+    found, held = [], 0
+    for r in rows.orderBy(F.xxhash64(key), key).toLocalIterator():
+        held += len(r[size])
+        if held > most:
+            break
+        found.append(r)
+    return found
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS, most: int = FIT_BYTES) -> np.ndarray | None:
     """Weights fitted on the labelled rows of docs that aren't held out; None without rows of both labels."""
-    rows = labelled_sample(docs, labels, "quality", sample).drop("doc_id").mapInPandas(_packed, "at binary, x binary, label int")
-    found = sorted((bytes(r["at"]), bytes(r["x"]), r["label"]) for r in rows.toLocalIterator())
+    rows = through(labelled_sample(docs, labels, "quality", sample), "at binary, x binary", lambda: _packed, kept=["label"])
+    found = sorted((bytes(r["at"]), bytes(r["x"]), r["label"]) for r in bounded(rows, "at", "at", most))
     y = [label for _, _, label in found]
     if len(set(y)) < 2:
         return None
@@ -83,17 +93,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     return Ftrl(BITS, alpha=0.5, l1=0.02, l2=0.1).fit(vectors, y, epochs).weights().astype(np.float32)
 
 
-def _scored(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = shared.value
-        for batch in batches:
-            if weights is None:
-                scores = [1.0] * len(batch)
-            else:
-                scores = [float(sigmoid(float(weights[at] @ x))) for at, x in _vectors(utf8(batch["text"]))]
-            yield batch.drop(columns="text").assign(score=scores)
+def score(texts: list[bytes], weights: np.ndarray | None) -> list[float]:
+    """Probabilities of label 1 by sparse dot products."""
+    if weights is None:
+        return [1.0] * len(texts)
+    return [float(sigmoid(float(weights[at] @ x))) for at, x in _vectors(texts)]
+
 
-    return run
+def with_quality(docs: DataFrame, labels: DataFrame, name: str, sample: int = SAMPLE) -> DataFrame:
+    """docs and the score of each row's own text in a further column ``name``."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+    work = lambda: lambda texts: {name: score(known(texts), shared.value)}
+    return through(docs.withColumn("text", F.col("text").cast("string")), f"`{name}` double", work, kept=docs.columns)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = KEEP, sample: int = SAMPLE) -> DataFrame:
@@ -108,12 +119,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = KEEP,
     A row without doc_id is scored, and held out is false.  An empty table
     gives an empty result; further columns are ignored.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    shared = spark.sparkContext.broadcast(fit(docs, labels, sample))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = narrow.mapInPandas(_scored(shared), "doc_id long, score double")
-    return scored.select(
+    return with_quality(narrow, labels, "score", sample).select(
         "doc_id",
         F.coalesce(crc_bucket() == 0, F.lit(False)).alias("held_out"),
         "score",

@@ -11,17 +11,15 @@ labels and scores whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import crc_bucket, prepare
+from lattica.llm.common import crc_bucket, known, through
 from lattica.llm.ftrl import Ftrl, sigmoid
-from lattica.llm.quality import labelled_sample
+from lattica.llm.quality import FIT_BYTES, bounded, labelled_sample
 
 #: Labelled rows that voters are found in and models are fitted on: so many of either label at most.
 SAMPLE = 3072
@@ -36,9 +34,9 @@ REJECT = 0.5
 _BLANK = bytes(b if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def _terms(text: str | None) -> set[bytes]:
+def _terms(text: bytes) -> set[bytes]:
     """A text's distinct words in lower case, and the starts of longer ones in bytes, marked by a star."""
-    words = set(text.lower().encode("utf-8", "surrogatepass").translate(_BLANK).split()) if text else set()
+    words = set(text.decode("utf-8", "replace").lower().encode().translate(_BLANK).split())
     return words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in STARTS))
 
 
@@ -110,21 +108,19 @@ def _telling(rows: list[np.ndarray], posterior: np.ndarray, size: int) -> np.nda
     return (toxic >= 2) & (rate >= LIFT * (clean + 0.1) / ((1 - posterior).sum() + 1))
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [b" ".join(sorted(_terms(text))) for text in batch["text"]]
-        yield pd.DataFrame({"terms": rows, "label": batch["label"].to_numpy()})
+def _packed(texts: list) -> dict:
+    return {"terms": [b" ".join(sorted(_terms(text))) for text in known(texts)]}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: list[str] | None = None) -> tuple[float, dict[bytes, float]] | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: list[str] | None = None, most: int = FIT_BYTES) -> tuple[float, dict[bytes, float]] | None:
     """The classifier's bias and its weights by term.  None where there are no voters or no texts to vote on.
 
     The driver holds the terms of 2 * sample texts and one number per distinct term.
     """
     found, numbers = [], {}
     for label in (0, 1):
-        own = labelled_sample(docs, labels.where(F.col("toxic") == label), "toxic", sample).drop("doc_id")
-        rows = own.mapInPandas(_packed, "terms binary, label int").toLocalIterator()
+        own = labelled_sample(docs, labels.where(F.col("toxic") == label), "toxic", sample)
+        rows = bounded(through(own, "terms binary", lambda: _packed, kept=["label"]), "terms", "terms", most)
         found += [(np.array([numbers.setdefault(t, len(numbers)) for t in bytes(r["terms"]).split(b" ")], np.int64), r["label"]) for r in rows]
     # The same order of rows and terms on any cluster.
     names = sorted(numbers)
@@ -148,18 +144,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: list[
     return float(weights[0]), {names[k]: float(weights[k + 1]) for k in range(len(names)) if weights[k + 1]}
 
 
-def _scored(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        known = set(model[1]) if model else set()
-        for batch in batches:
-            if model is None:
-                scores = [0.0] * len(batch)
-            else:
-                scores = [float(sigmoid(model[0] + sum(model[1][t] for t in sorted(known & _terms(text))))) for text in batch["text"]]
-            yield batch.drop(columns="text").assign(score=scores)
+def score(texts: list[bytes], model: tuple[float, dict[bytes, float]] | None) -> list[float]:
+    if model is None:
+        return [0.0] * len(texts)
+    bias, weights = model
+    usable = weights.keys()
+    return [float(sigmoid(bias + sum(weights[t] for t in sorted(usable & _terms(text))))) for text in texts]
 
-    return run
+
+def with_toxicity(docs: DataFrame, labels: DataFrame, name: str, sample: int = SAMPLE, lexicon: list[str] | None = None) -> DataFrame:
+    """docs and the score of each row's own text in a further column ``name``."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample, lexicon))
+    work = lambda: lambda texts: {name: score(known(texts), shared.value)}
+    return through(docs.withColumn("text", F.col("text").cast("string")), f"`{name}` double", work, kept=docs.columns)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = REJECT, sample: int = SAMPLE, lexicon: list[str] | None = None) -> DataFrame:
@@ -175,12 +172,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = REJEC
     scored, and held out is false.  An empty table gives an empty result;
     further columns are ignored.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    shared = spark.sparkContext.broadcast(fit(docs, labels, sample, lexicon))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = narrow.mapInPandas(_scored(shared), "doc_id long, score double")
-    return scored.select(
+    return with_toxicity(narrow, labels, "score", sample, lexicon).select(
         "doc_id",
         F.coalesce(crc_bucket() == 0, F.lit(False)).alias("held_out"),
         "score",

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,20 +148,20 @@ def _keys(rules: list[tuple[str, str]]) -> Column:
 
 
 def _judge(allowed, blocked):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(k) for k in batch["keys"]], np.int64)
-            flat = [k for keys in batch["keys"] for k in keys]
-            h1 = np.array([h for hs in batch["h1"] for h in hs], np.int64).view(np.uint64)
-            h2 = np.array([h for hs in batch["h2"] for h in hs], np.int64).view(np.uint64)
+            sizes = pc.list_value_length(batch.column("keys")).to_numpy(zero_copy_only=False)
+            flat = batch.column("keys").flatten()
+            h1, h2 = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
             allow, block = listed(allowed.value, h1, h2), listed(blocked.value, h1, h2)
             hit, starts = allow | block, np.concatenate([[0], np.cumsum(sizes)])
             rules, verdicts = [], []
-            for k in range(len(batch)):
+            for k in range(batch.num_rows):
                 own = np.flatnonzero(hit[starts[k] : starts[k + 1]])
-                rules.append(flat[starts[k] + own[0]] if len(own) else None)
+                rules.append(flat[int(starts[k] + own[0])].as_py() if len(own) else None)
                 verdicts.append("block" if len(own) and block[starts[k] + own[0]] else "allow")
-            yield batch.drop(columns=["keys", "h1", "h2"]).assign(rule=rules, verdict=verdicts)
+            out = [*(batch.column(c) for c in ("page_id", "host", "path")), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())]
+            yield pa.RecordBatch.from_arrays(out, names=["page_id", "host", "path", "rule", "verdict"])
 
     return run
 
@@ -198,7 +200,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
     allowed, blocked = (share(build(universe.select("key", F.col(c).alias("listed")))) for c in ("allowed", "blocked"))
     ready = keyed.withColumn("h1", F.transform("keys", lambda k: F.xxhash64(k))).withColumn("h2", F.transform("keys", lambda k: F.xxhash64(k, F.lit(1))))
     kind = dict(pages.dtypes)["page_id"]
-    return ready.mapInPandas(_judge(allowed, blocked), f"page_id {kind}, host string, path string, rule string, verdict string")
+    return ready.mapInArrow(_judge(allowed, blocked), f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
 #: The rules of the registered query.

@@ -186,6 +186,11 @@ def _payload(headers: dict[str, str], block: bytes) -> tuple[str | None, int | N
     return digest, len(payload)
 
 
+def _table(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows as objects: large integers beside nulls stay as they are."""
+    return pd.DataFrame(rows, columns=columns, dtype=object).astype({"payload_bytes": "Int64", "page_id": "Int64"})
+
+
 def _parsed(keep_blocks: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in RECORDS.split(", ")]
@@ -206,9 +211,9 @@ def _parsed(keep_blocks: bool):
                     rows.append((kind, *[headers.get(n) for n in names], digest, size, page, block if keep_blocks else None))
                     held += len(block)
                     if held >= READ_BYTES or len(rows) >= 2048:
-                        yield pd.DataFrame(rows, columns=columns).astype({"payload_bytes": "Int64", "page_id": "Int64"})
+                        yield _table(rows, columns)
                         rows, held = [], 0
-                yield pd.DataFrame(rows, columns=columns).astype({"payload_bytes": "Int64", "page_id": "Int64"})
+                yield _table(rows, columns)
 
     return run
 
