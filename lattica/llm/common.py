@@ -138,7 +138,3 @@ def in_blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 def known(texts: list[bytes | None]) -> list[bytes]:
     """The texts, null ones empty."""
     return [t or b"" for t in texts]
-
-
-def utf8(values) -> list[bytes]:
-    return [b"" if v is None or v != v else v.encode("utf-8", "surrogatepass") for v in values]
