@@ -2,10 +2,15 @@
 
 Every DOM node gets a density: its characters per tag, adjusted for the
 characters and tags of links against the body's.  The node whose children's
-densities have the largest sum carries the article; the smallest density on
-its path from the body is the threshold above which its ancestors belong to
-the article as well.  Menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments, told by element, role or class, never count.
+densities have the largest sum carries the article.  The smallest density on
+its path from the body is the threshold: the first node on that path, from the
+body on, whose density exceeds it is the selected subtree.  Densities are those
+of the whole page, menus and notices included; what is furniture (menus,
+headers, footers, sidebars, notices, adverts, forms, reader comments, told by
+element, role or class) can't carry the article and is left out of the selected
+subtree's text.
+
+Reading a page is linear in its length, whatever it holds.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ DROPPED = set(
     "applet aside audio button canvas datalist dialog embed footer form head iframe input map menu nav noscript object "
     "script select style svg template textarea title video".split()
 )
-#: Elements whose content is not markup.
+#: Elements whose content is not markup; it is no text of the page either.
 RAW = set("script style textarea title noscript iframe template xmp".split())
 #: An open element of the value is closed by a start of the key.
 CLOSES = {
@@ -53,10 +58,16 @@ HINTED = re.compile(rf"{HINTS}(?:$|[_-])|.*[_-]{HINTS}$", re.S)
 #: Those that tell of a page's layout or state don't name what the element is.
 STATE = re.compile(r"(?:^|[_-])(?:has|is|no|not|with|without|show|hide)[_-]|[_-](?:open|opened|closed|enabled|disabled|active|on|off)$")
 WHOLE = {"article", "main", "body", "html"}
+#: A class or id has no more characters than this where it is matched: longer ones name nothing.
+LONGEST_NAME = 200
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What ends a tag, or starts a quoted value in it.
+IN_TAG = re.compile(r">|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-INSIDE_LINKS = 0.6
+#: Lists, tables and divisions with as large a share of their characters in links, and as many links, are menus where
+#: no other text stands beside the links: a paragraph or a list of references has words around them.
+INSIDE_LINKS, MENU_LINKS = 0.9, 3
 
 
 def _judged(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
@@ -73,192 +84,224 @@ def _judged(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()):
         return True, False
     names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
-    return False, any(HINTED.match(n) and not STATE.search(n) for n in names)
+    return False, any(len(n) <= LONGEST_NAME and HINTED.match(n) and not STATE.search(n) for n in names)
+
+
+def tokens(source: str):
+    """(begin, end, slash, name, attributes) of each tag and comment; a comment has no name.
+
+    A tag that the page's end cuts off reaches to the end.  Each search that
+    fails once can't succeed further on, so it isn't made again.
+    """
+    at, size, absent = 0, len(source), set()
+
+    def find(what: str, begin: int) -> int:
+        if what in absent:
+            return -1
+        found = source.find(what, begin)
+        if found < 0:
+            absent.add(what)
+        return found
+
+    while (begin := source.find("<", at)) >= 0:
+        after = source[begin + 1 : begin + 2]
+        if source.startswith("<!--", begin):
+            end = find("-->", begin + 4)
+            at = size if end < 0 else end + 3
+            yield begin, at, False, "", ""
+        elif after in ("!", "?"):
+            end = find(">", begin)
+            at = size if end < 0 else end + 1
+            yield begin, at, False, "", ""
+        elif name := NAME.match(source, begin + 1 + (after == "/")):
+            k = name.end()
+            while stop := IN_TAG.search(source, k) if ">" not in absent else None:
+                k = stop.end()
+                if not stop[1]:
+                    break
+                quote = find(stop[1], k)
+                if quote >= 0:
+                    k = quote + 1
+            if stop is None:
+                absent.add(">")
+                k = size
+            yield begin, k, after == "/", name[0].lower(), source[name.end() : k - 1] if stop else ""
+            at = k
+        else:
+            at = begin + 1
 
 
 class Page:
-    """The nodes of a page in document order, and its texts with their node and block."""
+    """The nodes of a page in document order, its furniture, and its texts with their node and block."""
 
     def __init__(self, source: str):
         self.tags, self.parents, self.ends = ["body"], [-1], [0]
         self.texts: list[tuple[int, int, str]] = []
-        self.hinted: list[int] = []
-        self.block = 0
-        stack: list[tuple[str, int]] = [("body", 0)]  # (tag, node; -1: left out)
-        out = 0  # open elements that are left out
-        at = 0
+        self.furniture, self.hinted = [False], []
+        stack, blocks = [0], [0]  # open nodes; for each the depth of the nearest block
+        depths: dict[str, list[int]] = {"body": [0]}  # of the open nodes of each tag
+        block, at = 0, 0
 
         def close(depth: int) -> None:
-            nonlocal out
-            for tag, node in reversed(stack[depth:]):
-                out -= node < 0
-                if node >= 0:
-                    self.ends[node] = len(self.tags) - 1
-                if tag in BLOCKS:
-                    self.block += 1
-            del stack[depth:]
-
-        def text(until: int) -> None:
-            if until > at and not out:
-                self.texts.append((stack[-1][1], self.block, source[at:until]))
-
-        while token := TOKEN.search(source, at):
-            begin = token.start()
-            text(begin)
-            at = token.end()
-            tag = (token[2] or "").lower()
-            if not tag or tag in ("html", "body"):
+            nonlocal block
+            while len(stack) > depth:
+                node = stack.pop()
+                blocks.pop()
+                depths[self.tags[node]].pop()
+                self.ends[node] = len(self.tags) - 1
+                block += self.tags[node] in BLOCKS
+
+        def innermost(tags) -> int:
+            return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
+        def node(tag: str) -> int:
+            self.tags.append(tag)
+            self.parents.append(stack[-1])
+            self.ends.append(len(self.tags) - 1)
+            self.furniture.append(False)
+            return len(self.tags) - 1
+
+        raw_end = None
+        for begin, end, slash, tag, attributes in tokens(source):
+            if raw_end is not None:  # within an element whose content is no markup
+                if not (slash and tag == raw_end):
+                    at = end
+                    continue
+                raw_end, at = None, begin
+            if begin > at:
+                self.texts.append((stack[-1], block, source[at:begin]))
+            elif begin < at:
+                continue
+            at = end
+            if not tag or tag in ("html", "body") or end == len(source) and not source.endswith(">"):
                 continue
-            if token[1]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        close(depth)
-                        break
+            if slash:
+                if depths.get(tag):
+                    close(depths[tag][-1])
                 continue
-            if tag in BLOCKS and tag != "p" or tag == "p":
-                for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                    if stack[depth][0] == "p":
-                        if tag in BLOCKS:
-                            close(depth)
-                        break
-                    if stack[depth][0] in BLOCKS:
-                        break
+            if tag in BLOCKS:  # a block ends an open paragraph
+                if self.tags[stack[blocks[-1]]] == "p":
+                    close(blocks[-1])
+                block += 1
             if tag in CLOSES:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] in CLOSES[tag]:
-                        close(depth)
-                        if stack[-1][0] not in CLOSES[tag]:
-                            break
-                    elif stack[depth][0] in SCOPES.get(tag, {"table", "select"}):
-                        break
-            if tag in BLOCKS:
-                self.block += 1
+                while (depth := innermost(CLOSES[tag])) and depth > innermost(SCOPES.get(tag, ("table", "select"))):
+                    close(depth)
             if tag in VOID:
-                if not out:
-                    if tag == "br":
-                        self.texts.append((stack[-1][1], self.block, " "))
-                    if tag not in DROPPED:
-                        self.tags.append(tag)
-                        self.parents.append(stack[-1][1])
-                        self.ends.append(len(self.tags) - 1)
-                continue
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
-                at = end.start() if end else len(source)
-            furniture, hinted = (True, False) if out else _judged(tag, token[3], any(t == "article" for t, _ in stack))
-            if furniture:
-                stack.append((tag, -1))
-                out += 1
+                if tag == "br":
+                    self.texts.append((stack[-1], block, " "))
+                self.furniture[node(tag)] = tag in DROPPED
                 continue
+            own = node(tag)
+            self.furniture[own], hinted = _judged(tag, attributes, bool(depths.get("article")))
             if hinted:
-                self.hinted.append(len(self.tags))
-            self.tags.append(tag)
-            self.parents.append(stack[-1][1])
-            self.ends.append(0)
-            stack.append((tag, len(self.tags) - 1))
-        rest = source[at:]
-        cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)  # a tag that the page's end cuts off
-        source = source[: at + cut.start()] if cut else source
-        text(len(source))
+                self.hinted.append(own)
+            if tag in RAW:
+                if f"</{tag}" in source[end : end + 64].lower() or re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, end):
+                    raw_end = tag
+                else:
+                    at = len(source)
+            blocks.append(len(stack) if tag in BLOCKS else blocks[-1])
+            depths.setdefault(tag, []).append(len(stack))
+            stack.append(own)
+        if raw_end is None and at < len(source):
+            self.texts.append((stack[-1], block, source[at:]))
         close(0)
-        if self.hinted:
-            self._leave_out()
+        self._count()
+        self._leave_out()
 
-    def _leave_out(self) -> None:
-        """Drops hinted elements, but none that holds the page's article.
-
-        That is one around main or the largest article, or on a page with
-        neither outside it, one with most of the body's characters that are no
-        links.
-        """
+    def _count(self) -> None:
+        """Characters other than white space, characters in links, tags and links of each node."""
         n = len(self.tags)
+        self.chars, self.link_chars, self.inner, self.links = [0] * n, [0] * n, [0] * n, [0] * n
         in_link = [False] * n
         for k in range(1, n):
             in_link[k] = self.tags[k] == "a" or in_link[self.parents[k]]
-        own = [0] * n
         for node, _, piece in self.texts:
-            own[node] += sum(map(len, piece.split())) * (not in_link[node])
-        before = [0]
-        for size in own:
-            before.append(before[-1] + size)
-        plain = lambda k: before[self.ends[k] + 1] - before[k]
+            size = sum(map(len, html.unescape(piece).split()))
+            self.chars[node] += size
+            self.link_chars[node] += size * in_link[node]
+        for k in range(n - 1, 0, -1):
+            p = self.parents[k]
+            self.chars[p] += self.chars[k]
+            self.link_chars[p] += self.link_chars[k]
+            self.inner[p] += self.inner[k] + 1
+            self.links[p] += self.links[k] + (self.tags[k] == "a")
+
+    def _leave_out(self) -> None:
+        """Hinted elements are furniture, but none that holds main, the largest article or, without either, most of the text.
+
+        What stands in furniture is furniture.
+        """
+        n = len(self.tags)
+        plain = lambda k: self.chars[k] - self.link_chars[k]
         articles = [k for k in range(n) if self.tags[k] == "article"]
         held = [k for k in range(n) if self.tags[k] == "main"] + ([max(articles, key=lambda k: (plain(k), -k))] if articles else [])
-        keep, until = [True] * n, -1
+        holds = [0] * n
+        for k in held:
+            holds[k] = 1
+        for k in range(n - 1, 0, -1):
+            holds[self.parents[k]] += holds[k]
         for k in self.hinted:
-            end = self.ends[k]
-            if k <= until or any(k < h <= end for h in held) or not held and 2 * plain(k) > before[-1]:
-                continue
-            keep[k : end + 1] = [False] * (end + 1 - k)
-            until = end
-        place = [-1]
-        for kept in keep:
-            place.append(place[-1] + kept)
-        place = place[1:]
-        self.texts = [(place[node], block, piece) for node, block, piece in self.texts if keep[node]]
-        self.ends = [place[self.ends[k]] for k in range(n) if keep[k]]
-        self.parents = [place[p] if p >= 0 else -1 for p, kept in zip(self.parents, keep, strict=True) if kept]
-        self.tags = [t for t, kept in zip(self.tags, keep, strict=True) if kept]
-
-    def densities(self) -> tuple[list[float], list[float], list[tuple[int, int, int]]]:
-        """Composite text density of each node, the sum over its children, and (chars, link chars, links)."""
-        n = len(self.tags)
-        chars, link_chars, tags, links = [0] * n, [0] * n, [0] * n, [0] * n
-        in_link = [False] * n
+            around = holds[k] - (k in held[:1] or self.tags[k] == "main")
+            self.furniture[k] |= not around and (bool(held) or 2 * plain(k) <= plain(0))
         for k in range(1, n):
-            in_link[k] = self.tags[k] == "a" or in_link[self.parents[k]]
-        for node, _, piece in self.texts:
-            size = sum(map(len, piece.split()))
-            chars[node] += size
-            link_chars[node] += size * in_link[node]
-        for k in range(n - 1, 0, -1):
-            p = self.parents[k]
-            chars[p] += chars[k]
-            link_chars[p] += link_chars[k]
-            tags[p] += tags[k] + 1
-            links[p] += links[k] + (self.tags[k] == "a")
-        body = link_chars[0] / max(chars[0], 1)
+            self.furniture[k] |= self.furniture[self.parents[k]]
+
+    def densities(self) -> tuple[list[float], list[float]]:
+        """Composite text density of each node, and its sum over each node's children."""
+        n = len(self.tags)
+        body = self.link_chars[0] / max(self.chars[0], 1)
         density, sums = [0.0] * n, [0.0] * n
         for k in range(n):
-            if chars[k]:
-                c, t = chars[k], max(tags[k], 1)
-                lc, lt, rest = max(link_chars[k], 1), max(links[k], 1), max(chars[k] - link_chars[k], 1)
+            if self.chars[k]:
+                c, t = self.chars[k], max(self.inner[k], 1)
+                lc, lt, rest = max(self.link_chars[k], 1), max(self.links[k], 1), max(self.chars[k] - self.link_chars[k], 1)
                 base = math.log(c / rest * lc + body * c + math.e)
                 density[k] = max(c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base), 0.0)
         for k in range(1, n):
             sums[self.parents[k]] += density[k]
-        return density, sums, list(zip(chars, link_chars, links, strict=True))
+        return density, sums
 
-    def article(self) -> str:
-        """The blocks of the selected subtree, in page order, joined by single spaces."""
-        density, sums, counts = self.densities()
-        best = max(range(len(sums)), key=lambda k: (sums[k], -k))
+    def selected(self) -> int | None:
+        """The node whose subtree is the article; None without one.
+
+        Of equal sums a node that is or stands in an article or main comes
+        first, then the denser, then the earlier.
+        """
+        density, sums = self.densities()
+        marked = [False] * len(self.tags)
+        for k in range(len(self.tags)):
+            marked[k] = self.tags[k] in ("article", "main") or k > 0 and marked[self.parents[k]]
+        fit = [k for k in range(len(self.tags)) if not self.furniture[k] and (sums[k] > 0 or density[k] > 0)]
+        if not fit:
+            return None
+        best = max(fit, key=lambda k: (sums[k], marked[k], density[k], -k))
         path = [best]
         while self.parents[path[-1]] >= 0:
             path.append(self.parents[path[-1]])
-        landmark = next((k for k in path if self.tags[k] == "article"), next((k for k in path if self.tags[k] == "main"), None))
-        if landmark is None and best == 0:
-            landmark = max((k for k in range(len(self.tags)) if self.tags[k] in ("article", "main")), key=lambda k: counts[k][0], default=None)
         threshold = min(density[k] for k in path)
-        chosen = next((k for k in reversed(path) if density[k] > threshold), best) if landmark is None else landmark
-        skipped = self._menus(chosen, counts)
+        return next((k for k in reversed(path) if density[k] > threshold), best)
+
+    def article(self) -> str:
+        """The blocks of the selected subtree without its furniture, in page order, joined by single spaces."""
+        chosen = self.selected()
+        if chosen is None:
+            return ""
+        out = self._menus(chosen)
         blocks: dict[int, list[str]] = {}
         for node, block, piece in self.texts:
-            if chosen <= node <= self.ends[chosen] and not any(a <= node <= b for a, b in skipped):
+            if chosen <= node <= self.ends[chosen] and not out[node]:
                 blocks.setdefault(block, []).append(piece)
         done = (" ".join(html.unescape("".join(pieces)).split()) for pieces in blocks.values())
         return " ".join(b for b in done if b)
 
-    def _menus(self, chosen: int, counts: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-        """Lists, tables and divisions within the subtree that are mostly links."""
-        found, k = [], chosen + 1
-        while k <= self.ends[chosen]:
-            chars, link_chars, links = counts[k]
-            if self.tags[k] in ("ul", "ol", "div", "section", "table", "p") and links >= 3 and link_chars > INSIDE_LINKS * chars:
-                found.append((k, self.ends[k]))
-                k = self.ends[k]
-            k += 1
-        return found
+    def _menus(self, chosen: int) -> list[bool]:
+        """Furniture, and what within the subtree is made of links alone."""
+        out = list(self.furniture)
+        for k in range(chosen + 1, self.ends[chosen] + 1):
+            menu = self.tags[k] in ("ul", "ol", "div", "section", "table") and self.links[k] >= MENU_LINKS
+            out[k] = out[k] or out[self.parents[k]] or menu and self.link_chars[k] > INSIDE_LINKS * self.chars[k]
+        return out
 
 
 def main_text(source: str | None) -> str:
