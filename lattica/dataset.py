@@ -42,14 +42,14 @@ class Dataset:
         return self._with(relational.where_indexed(self.frame, self.order, predicate))
 
     def select_many(self, items: Column, name: str = "item", keep: Sequence[str] | None = None) -> Dataset:
-        return self._with(relational.select_many(self.frame, items, name, keep))
+        return Dataset(relational.select_many(self.frame, items, name, keep))  # items of a row have no order yet
 
     def select_many_indexed(self, items: Column, name: str = "item", keep: Sequence[str] | None = None) -> Dataset:
-        return self._with(relational.select_many_indexed(self.frame, self.order, items, name, keep))
+        return Dataset(relational.select_many_indexed(self.frame, self.order, items, name, keep))
 
     # Joins and set operations
     def join(self, other: Dataset, left_keys, right_keys, result: Callable | None = None, null_safe: bool = True, how: str = "inner") -> Dataset:
-        return self._with(relational.join(self.frame, other.frame, left_keys, right_keys, result, null_safe, how))
+        return Dataset(relational.join(self.frame, other.frame, left_keys, right_keys, result, null_safe, how))
 
     def group_join(self, other: Dataset, left_keys, right_keys, aggregates=None, null_safe: bool = True) -> Dataset:
         return self._with(relational.group_join(self.frame, other.frame, left_keys, right_keys, aggregates, null_safe))
@@ -91,9 +91,15 @@ class Dataset:
     def fold(self, column: str, seed, step, result=lambda a: a):
         return decompose.fold(self.frame, self._order(), column, seed, step, result)
 
+    def aggregate_as_query(self, column: str, seed, step, kind: str, result=lambda a: a) -> Dataset:
+        return Dataset(decompose.fold_as_query(self.frame, self._order(), column, seed, step, kind, result))
+
     def associative(self, column: str, seed, merge, kind: str):
         return A.value(decompose.associative(self.frame, column, seed, merge, kind))
 
+    def associative_as_query(self, column: str, seed, merge, kind: str) -> Dataset:
+        return Dataset(decompose.associative(self.frame, column, seed, merge, kind))
+
     def count_as_query(self, predicate: Column | None = None) -> Dataset:
         return Dataset(A.count_as_query(self.frame, predicate))
 
@@ -191,8 +197,7 @@ class Dataset:
         return self._with(ordering.skip_while(self.frame, self.order, predicate))
 
     def element_at(self, place: int, default: bool = False):
-        found = ordering.with_index(self.frame, self.order).where(F.col("idx") == place).drop("idx")
-        return A.one(found, default)
+        return A.one(ordering.element_at(self.frame, self._order(), place), default)
 
     def reverse(self, opposite: Sequence | None = None) -> Dataset:
         keys = opposite or ordering.reversed_keys(self._order())
@@ -249,6 +254,9 @@ class Dataset:
     def apply_pairwise(self, other: Dataset, function, schema: str) -> Dataset:
         return Dataset(partition.apply_pairwise(self.frame, other.frame, function, schema))
 
+    def apply_per_partition_many(self, others: Sequence[Dataset], function, schema: str) -> Dataset:
+        return Dataset(partition.apply_per_partition_many([self.frame, *[o.frame for o in others]], function, schema))
+
     def apply_with_broadcast(self, other: Dataset, function, schema: str) -> Dataset:
         return Dataset(partition.apply_with_broadcast(self.frame, other.frame, function, schema))
 

@@ -59,5 +59,9 @@ class PartitionMismatch(LatticaError):
     """A pairwise operator got inputs with unequal partition counts."""
 
 
+class NameClash(LatticaError, ValueError):
+    """A column that an operator adds has a name that the dataset uses."""
+
+
 class Disposed(LatticaError):
     """A context was used after close()."""

@@ -16,8 +16,7 @@ def equal(a: Column, b: Column) -> Column:
 
 def int_div(a: Column, b: Column) -> Column:
     """Integer division towards zero; division by zero raises."""
-    quotient = a / b
-    return F.when(quotient < 0, F.ceil(quotient)).otherwise(F.floor(quotient)).cast("long")
+    return F.call_function("div", a, b)
 
 
 def coalesce_to(a: Column, default) -> Column:

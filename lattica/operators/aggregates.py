@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.errors import EmptySequence, MoreThanOne
 
@@ -104,18 +106,32 @@ def last_as_query(df: DataFrame, opposite: Sequence, predicate: Column | None =
 
 
 def single_as_query(df: DataFrame, predicate: Column | None = None) -> DataFrame:
-    """Up to two rows, so that a caller sees whether there is exactly one."""
-    return (df if predicate is None else df.where(predicate)).limit(2)
+    """The only row, or none; several fail with MoreThanOne when the query runs."""
+    found = (df if predicate is None else df.where(predicate)).limit(2)
+    several = F.count("*").over(Window.partitionBy(F.lit(0))) > 1
+    checked = found.withColumn("lattica_one", F.when(several, F.raise_error(F.lit("MoreThanOne: the dataset has several rows"))).otherwise(F.lit("")))
+    return checked.where(F.col("lattica_one").isNotNull()).drop("lattica_one")
 
 
 def value(query: DataFrame):
     """The only value of a dataset of one row."""
-    return query.first()[0]
+    return _raising(query.first)[0]
+
+
+def _raising(action: Callable):
+    """Runs an action; what a query's own checks raise comes as this engine's errors."""
+    try:
+        return action()
+    except PySparkException as failed:
+        for kind in (EmptySequence, MoreThanOne):
+            if f"{kind.__name__}: " in str(failed):
+                raise kind(kind.__name__ + str(failed).partition(kind.__name__)[2].partition("\n")[0]) from None
+        raise
 
 
 def one(query: DataFrame, default: bool = False, single: bool = False):
     """The row of a positional query; none raises EmptySequence (or gives None), several raise MoreThanOne."""
-    rows = query.take(2)
+    rows = _raising(lambda: query.take(2))
     if single and len(rows) > 1:
         raise MoreThanOne("the dataset has several rows")
     if not rows:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lattica.errors import BadIteration, BadPartitionCount, BadSeparators, PartitionMismatch
 from lattica.session import reliable
@@ -15,6 +19,8 @@ from lattica.session import reliable
 #: Bytes of a dataset that a per-partition function may get whole in each task.
 BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 200_000
+#: Rows of a batch where Spark doesn't cut them.
+BATCH_ROWS = 10_000
 
 
 def _count(n: int | None) -> None:
@@ -97,11 +103,39 @@ def apply_binary_whole(left: DataFrame, right: DataFrame, function: Callable[[pd
 
 def apply_pairwise(left: DataFrame, right: DataFrame, function: Callable, schema: str) -> DataFrame:
     """function over the partitions of both with the same number; the counts must be equal."""
-    a, b = left.rdd.getNumPartitions(), right.rdd.getNumPartitions()
-    if a != b:
-        raise PartitionMismatch(f"{a} and {b} partitions")
-    pid = F.spark_partition_id()
-    return _cogroup(_frames(left, pid), _frames(right, pid), function, schema)
+    return apply_per_partition_many([left, right], lambda frames: function(*frames), schema)
+
+
+def apply_per_partition_many(frames: Sequence[DataFrame], function: Callable[[list[pd.DataFrame]], pd.DataFrame], schema: str) -> DataFrame:
+    """function over the partitions with the same number of several datasets, of one schema or several.
+
+    The datasets are fixed in reliable storage first, so partitions stay as they are counted.
+    """
+    frames = [reliable(f) for f in frames]
+    counts = [f.rdd.getNumPartitions() for f in frames]
+    if len(set(counts)) > 1:
+        raise PartitionMismatch(f"{', '.join(map(str, counts))} partitions")
+    union, split = _beside(frames)
+    out = to_arrow_schema(union.sparkSession.createDataFrame([], schema).schema)
+    return union.groupBy("lattica_part").applyInArrow(lambda table: pa.Table.from_pandas(function(split(table)), out, preserve_index=False), schema)
+
+
+def _beside(frames: Sequence[DataFrame]) -> tuple[DataFrame, Callable[[pa.Table], list[pd.DataFrame]]]:
+    """Rows of several datasets in one, each in columns of its own, and what takes them apart again."""
+    names, tagged = [f.columns for f in frames], []
+    for k, f in enumerate(frames):
+        plain = f.toDF(*[f"c{k}_{j}" for j in range(len(f.columns))])
+        tagged.append(plain.withColumns({"lattica_source": F.lit(k), "lattica_part": F.spark_partition_id()}))
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+
+    def split(table: pa.Table) -> list[pd.DataFrame]:
+        parts = []
+        for k, own in enumerate(names):
+            rows = table.filter(pc.equal(table["lattica_source"], k)).select([f"c{k}_{j}" for j in range(len(own))])
+            parts.append(rows.rename_columns(own).to_pandas())
+        return parts
+
+    return union, split
 
 
 def _cogroup(left: DataFrame, right: DataFrame, function: Callable, schema: str) -> DataFrame:
@@ -112,43 +146,50 @@ def _cogroup(left: DataFrame, right: DataFrame, function: Callable, schema: str)
 
 
 def apply_many(frames: Sequence[DataFrame], function: Callable[[list[pd.DataFrame]], pd.DataFrame], schema: str) -> DataFrame:
-    """function over several whole datasets of one schema, in one task."""
-    count = len(frames)
-    tagged = [f.withColumn("lattica_source", F.lit(k)) for k, f in enumerate(frames)]
-    union = tagged[0]
-    for other in tagged[1:]:
-        union = union.unionByName(other)
+    """function over several whole datasets, of one schema or several, in one task; a dataset may be empty."""
+    union, split = _beside(frames)
+    given = to_arrow_schema(union.schema)
+    out = to_arrow_schema(union.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        table = pa.Table.from_batches(rows) if rows else given.empty_table()
+        yield from pa.Table.from_pandas(function(split(table)), out, preserve_index=False).to_batches()
+
+    return union.repartition(1).mapInArrow(run, schema)
 
-    def run(batches):
-        rows = pd.concat(list(batches), ignore_index=True)
-        yield function([rows[rows["lattica_source"] == k].drop(columns="lattica_source") for k in range(count)])
 
-    return union.repartition(1).mapInPandas(run, schema)
+def _small(df: DataFrame) -> bool:
+    """Whether the dataset may be broadcast: counted and measured where it lies, nothing is collected."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    n, total = df.agg(F.count("*"), size).first()
+    return n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES
 
 
 def apply_with_broadcast(df: DataFrame, other: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """function(batches of a partition, whole other dataset).
+    """function(batches of a partition, whole other dataset), once for each partition.
 
-    The other dataset is sent to the tasks where it has few rows; else each
-    partition's rows are cogrouped with a copy of it, by shuffle.
+    The other dataset is sent to the tasks where it has few rows and bytes; else
+    each partition's rows are cogrouped with a copy of it, by shuffle, and go to
+    the function in batches as well.
     """
-    head = other.limit(BROADCAST_ROWS + 1)
-    if head.count() <= BROADCAST_ROWS:
-        table = other.toPandas()
-        if int(table.memory_usage(deep=True).sum()) <= BROADCAST_BYTES:
-            shared = df.sparkSession.sparkContext.broadcast(table)
+    if _small(other):
+        shared = df.sparkSession.sparkContext.broadcast(other.toPandas())
 
-            def run(batches):
-                yield from function(batches, shared.value)
+        def run(batches):
+            yield from function(batches, shared.value)
 
-            return df.mapInPandas(run, schema)
-    parts = df.rdd.getNumPartitions()
+        return df.mapInPandas(run, schema)
+    fixed = reliable(df)  # its partitions stay as they are counted
+    parts = fixed.rdd.getNumPartitions()
     copies = other.withColumn("lattica_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(function(iter([a.drop(columns="lattica_part")]), b.drop(columns="lattica_part"))))
+        rows = a.drop(columns="lattica_part")
+        batches = (rows[k : k + BATCH_ROWS].reset_index(drop=True) for k in range(0, len(rows), BATCH_ROWS))
+        return pd.concat(list(function(batches, b.drop(columns="lattica_part"))))
 
-    return _frames(df, F.spark_partition_id()).groupBy("lattica_part").cogroup(copies.groupBy("lattica_part")).applyInPandas(both, schema)
+    return _frames(fixed, F.spark_partition_id()).groupBy("lattica_part").cogroup(copies.groupBy("lattica_part")).applyInPandas(both, schema)
 
 
 def broadcast_copies(df: DataFrame, count: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.ordering import with_index
+from lattica.operators.ordering import placed_rows
 
 
 def select_many(df: DataFrame, items: Column, name: str = "item", keep: Sequence[str] | None = None) -> DataFrame:
@@ -17,17 +17,19 @@ def select_many(df: DataFrame, items: Column, name: str = "item", keep: Sequence
 
 
 def select_indexed(df: DataFrame, order: Sequence, *columns: Column) -> DataFrame:
-    """Projection whose expressions may use ``idx``, the row's place."""
-    return with_index(df, order).select(*columns)
+    """Projection whose expressions may use ``idx``, the row's place (or df's own column of that name)."""
+    return placed_rows(df, order).select(*columns)
 
 
 def where_indexed(df: DataFrame, order: Sequence, predicate: Column) -> DataFrame:
-    return with_index(df, order).where(predicate).drop("idx")
+    """Rows that meet a predicate, which may use ``idx`` in the same way."""
+    return placed_rows(df, order).where(predicate).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def select_many_indexed(df: DataFrame, order: Sequence, items: Column, name: str = "item", keep: Sequence[str] | None = None) -> DataFrame:
-    indexed = with_index(df, order)
-    return select_many(indexed, items, name, ["idx", *(df.columns if keep is None else keep)])
+    """select_many with the parent's place in ``idx`` (a column ``idx`` of df's own stays as it is)."""
+    kept = df.columns if keep is None else list(keep)
+    return select_many(placed_rows(df, order), items, name, kept if "idx" in kept else ["idx", *kept])
 
 
 def key_match(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], null_safe: bool = True) -> Column:
@@ -42,8 +44,9 @@ def join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys
     """Equi-join; ``result`` maps both inputs to the output's columns.
 
     Catalyst picks the strategy by size; with adaptive execution a small side is
-    broadcast and a skewed key is split.
+    broadcast and a skewed key is split.  A dataset may be joined to itself.
     """
+    right = right.toDF(*right.columns)  # columns of its own, where both sides are one dataset
     out = left.join(right, key_match(left, right, left_keys, right_keys, null_safe), how)
     return out.select(*result(left, right)) if result else out
 
@@ -51,18 +54,23 @@ def join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys
 def group_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], aggregates: dict[str, Column] | None = None, null_safe: bool = True) -> DataFrame:
     """Each left row with its matches: aggregates over them, or the array ``group`` of right rows (empty if none).
 
-    Aggregates are computed on the right side before the join, so they see no
-    row for a left row without matches: their value is then null, or 0 for
-    columns whose names start with ``n_``.
+    Aggregates are computed on the right side before the join; a left row
+    without matches gets what they give for no rows: 0 for a count, null for
+    F.sum, F.min or F.max, and 0 for aggregates.sum_of.
     """
+    right = right.toDF(*right.columns)
     names = [f"lattica_k{k}" for k in range(len(right_keys))]
     grouped = right.groupBy(*[F.col(k).alias(n) for k, n in zip(right_keys, names, strict=True)])
     gathered = grouped.agg(*([c.alias(n) for n, c in aggregates.items()] if aggregates else [F.collect_list(F.struct(*right.columns)).alias("group")]))
+    gathered = gathered.withColumn("lattica_found", F.lit(True))
     joined = left.join(gathered, key_match(left, gathered, left_keys, names, null_safe), "left").drop(*names)
     if aggregates:
-        return joined.withColumns({n: F.coalesce(n, F.lit(0)) for n in aggregates if n.startswith("n_")})
+        none = right.sparkSession.createDataFrame([], right.schema).agg(*[c.alias(f"lattica_none_{n}") for n, c in aggregates.items()])
+        values = {n: F.when(F.col("lattica_found"), F.col(n)).otherwise(F.col(f"lattica_none_{n}")) for n in aggregates}
+        filled = joined.crossJoin(F.broadcast(none)).withColumns(values)  # one row
+        return filled.drop("lattica_found", *none.columns)
     empty = F.array().cast(dict(gathered.dtypes)["group"])
-    return joined.withColumn("group", F.coalesce("group", empty))
+    return joined.drop("lattica_found").withColumn("group", F.coalesce("group", empty))
 
 
 def semi(left: DataFrame, right: DataFrame, left_keys, right_keys, null_safe: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,6 +13,7 @@ from lattica.dataset import Dataset
 from lattica.functions import scalar
 from lattica.operators import aggregates as A
 from lattica.operators import decompose, partition, relational
+from lattica.session import Context, shared_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -72,10 +74,9 @@ def map_reduce_lang(spark, sf):
     return _set(spark, sf, "documents").select_many(scalar.split_on(F.col("text"), " "), "word", ["lang"]).group_by("lang", aggregates={"n_words": F.count("*")}).frame
 
 
-@query("select doc_id, word, length(word)::int as size from (select doc_id, unnest(string_split(text, ' ')) as word from documents where doc_id % 10 = 0)")
+@query("select doc_id, word, length(word)::int as size from (select doc_id, unnest(string_split(text, ' ')) as word from documents)")
 def select_many_props(spark, sf):
-    docs = _set(spark, sf, "documents").where(F.col("doc_id") % 10 == 0)
-    return docs.select_many(scalar.split_on(F.col("text"), " "), "word", ["doc_id"]).select("doc_id", "word", F.length("word").alias("size")).frame
+    return _set(spark, sf, "documents").select_many(scalar.split_on(F.col("text"), " "), "word", ["doc_id"]).select("doc_id", "word", F.length("word").alias("size")).frame
 
 
 @query("select doc_id, word, length(word)::int as size from (select doc_id, unnest(string_split(text, ' ')) as word from documents)")
@@ -131,10 +132,10 @@ def where_indexed(spark, sf):
     return _events(spark, sf).where_indexed(F.col("idx") % 7 == 3).select("event_id").frame
 
 
-@query("select idx, event_id, unnest([event_type, user_id::varchar]) as item from (select *, row_number() over (order by event_id) - 1 as idx from events) where idx < 500")
+@query("select idx, event_id, unnest([event_type, user_id::varchar]) as item from (select *, row_number() over (order by event_id) - 1 as idx from events)")
 def select_many_indexed(spark, sf):
     items = F.array(F.col("event_type"), F.col("user_id").cast("string"))
-    return _events(spark, sf).select_many_indexed(items, "item", ["event_id"]).where(F.col("idx") < 500).frame
+    return _events(spark, sf).select_many_indexed(items, "item", ["event_id"]).frame
 
 
 @query("select idx, event_id, unnest([event_type, user_id::varchar]) as item from (select *, row_number() over (order by event_id) - 1 as idx from events)")
@@ -776,6 +777,102 @@ def top_nations(spark, sf):
     return named.group_by("n_name", aggregates={"cents": F.sum("cents")}).order_by(F.desc("cents"), F.asc("n_name")).take(5).frame
 
 
+# ---- stores ----
+
+
+def _stored(spark, sf, name: str, data: Dataset, **options) -> Dataset:
+    """The dataset after a round through a store in the shared folder."""
+    uri = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}.{options.pop('suffix', 'parquet')}"
+    context = Context(spark)
+    context.submit(data.to_store(uri, **options))
+    return context.from_store(uri)
+
+
+@query("select o_orderkey, o_totalprice, o_orderdate from orders")
+def store_parquet(spark, sf):
+    return _stored(spark, sf, "orders", _set(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"), compression="zstd").frame
+
+
+@query("select n_nationkey || ' ' || n_name as line from nation")
+def store_text(spark, sf):
+    lines = _set(spark, sf, "nation").select(F.concat_ws(" ", "n_nationkey", "n_name").alias("line"))
+    return _stored(spark, sf, "nation", lines, suffix="txt").frame
+
+
+@query("select c_custkey || '|' || c_name as line from customer")
+def store_text_gzip(spark, sf):
+    lines = _set(spark, sf, "customer").select(F.concat_ws("|", "c_custkey", "c_name").alias("line"))
+    return _stored(spark, sf, "customer", lines, suffix="txt", compression="gzip").frame
+
+
+@query("select s_suppkey || '|' || s_name as line from supplier")
+def store_partfile(spark, sf):
+    context = Context(spark)
+    lines = _set(spark, sf, "supplier").hash_partition("s_suppkey", count=3).select(F.concat_ws("|", "s_suppkey", "s_name").alias("line"))
+    uri = f"partfile:{shared_folder(spark)}/supplier-{uuid.uuid4().hex}.pt"
+    context.submit(lines.to_store(uri, compression="gzip"))
+    return context.from_store(uri).frame
+
+
+@query("select 'even' as sink, o_orderkey from orders where o_orderkey % 2 = 0 union all select 'odd', o_orderkey from orders where o_orderkey % 2 <> 0")
+def multi_output(spark, sf):
+    context, folder = Context(spark), f"{shared_folder(spark)}/sinks-{uuid.uuid4().hex}"
+    keys = _set(spark, sf, "orders").select("o_orderkey")
+    even, odd = keys.where(F.col("o_orderkey") % 2 == 0), keys.where(F.col("o_orderkey") % 2 != 0)
+    context.submit(even.to_store(f"{folder}/even.parquet"), odd.to_store(f"{folder}/odd.parquet"))
+    sinks = [context.from_store(f"{folder}/{name}.parquet").select(F.lit(name).alias("sink"), "o_orderkey") for name in ("even", "odd")]
+    return sinks[0].concat(sinks[1]).frame
+
+
+@query("select n_nationkey as value, n_name from nation where n_nationkey in (3, 5, 8)")
+def from_enumerable(spark, sf):
+    local = Context(spark).from_enumerable([3, 5, 8, 100], "value int")
+    return local.join(_set(spark, sf, "nation"), ["value"], ["n_nationkey"], lambda a, b: [a["value"], b["n_name"]]).frame
+
+
+@query("select 1::bigint as first_found, null::bigint as first_none, 24::bigint as last_found, null::bigint as last_none, 7::bigint as single_found, null::bigint as single_none")
+def or_default(spark, sf):
+    nations = _set(spark, sf, "nation", "n_nationkey")
+    key = lambda row: row and int(row["n_nationkey"])
+    above = lambda n: F.col("n_nationkey") > n
+    found = [key(nations.first(above(0), default=True)), key(nations.first(above(99), default=True)), key(nations.last(default=True)), key(nations.last(above(99), default=True))]
+    found += [key(nations.single(F.col("n_nationkey") == 7, default=True)), key(nations.single(above(99), default=True))]
+    names = ["first_found", "first_none", "last_found", "last_none", "single_found", "single_none"]
+    return spark.createDataFrame([tuple(found)], ", ".join(f"{n} long" for n in names))
+
+
+@query("select string_agg(n_name, '>' order by n_nationkey) as result from nation")
+def aggregate_as_query(spark, sf):
+    nations = _set(spark, sf, "nation", "n_nationkey")
+    return nations.aggregate_as_query("n_name", lambda: [], lambda state, name: [*state, name], "string", ">".join).frame
+
+
+@query("select bit_xor(event_id)::bigint as result from events")
+def associative_as_query(spark, sf):
+    return _events(spark, sf).associative_as_query("event_id", lambda: 0, lambda a, b: int(a) ^ int(b), "long").frame
+
+
+@query("select (select count(*) from nation) as nations, (select count(*) from supplier) as suppliers, (select count(*) from customer) as customers")
+def apply_per_partition_many(spark, sf):
+    def sizes(frames):
+        return pd.DataFrame({n: [len(f)] for n, f in zip(("nations", "suppliers", "customers"), frames, strict=True)})
+
+    keys = {"nation": "n_nationkey", "supplier": "s_nationkey", "customer": "c_nationkey"}
+    parts = [Dataset(_table(spark, sf, t).repartitionById(4, (F.col(k) % 4).cast("int"))) for t, k in keys.items()]
+    counted = parts[0].apply_per_partition_many(parts[1:], sizes, "nations long, suppliers long, customers long").frame
+    return counted.agg(*[F.sum(c).alias(c) for c in counted.columns])
+
+
+@query("select r_name as name, (select count(*) from nation where n_regionkey = r_regionkey) as nations from region")
+def apply_mixed(spark, sf):
+    def named(frames):
+        regions, nations = frames
+        counts = nations.groupby("n_regionkey").size()
+        return pd.DataFrame({"name": regions["r_name"], "nations": [int(counts.get(k, 0)) for k in regions["r_regionkey"]]})
+
+    return _set(spark, sf, "region").apply_many([_set(spark, sf, "nation").select("n_regionkey")], named, "name string, nations long").frame
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

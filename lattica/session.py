@@ -30,16 +30,18 @@ SETTINGS = {
 }
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """df from reliable storage: the rows are fixed, and what made them isn't run again.
-
-    Uses the folder in spark.checkpoint.dir; only a local master may go without one.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; only a local master may go without one."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """df from reliable storage: the rows are fixed, and what made them isn't run again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -80,39 +80,66 @@ def _exists_file(spark: SparkSession, uri: str) -> bool:
     return system.exists(path)
 
 
-def read_partfile_index(lines: list[str]) -> tuple[str, list[int]]:
-    """(base path, partition numbers) of an index: the base, the count, then ``number,size[,machine[:path]]`` lines."""
+def _index_lines(lines: list[str]) -> tuple[str, list[list[str]]]:
     lines = [line.strip() for line in lines if line.strip()]
     if len(lines) < 2 or not lines[1].isdigit():
         raise BadStore("an index starts with the base path and the partition count")
-    parts = [line.split(",") for line in lines[2:]]
+    parts = [line.split(",", 2) for line in lines[2:]]
     if len(parts) != int(lines[1]) or not all(p[0].isdigit() and len(p) > 1 for p in parts):
         raise BadStore("an index has a line for each partition")
-    return lines[0], [int(p[0]) for p in parts]
+    return lines[0], parts
+
+
+def read_partfile_index(lines: list[str]) -> tuple[str, list[int]]:
+    """(base path, partition numbers) of an index: the base, the count, then ``number,size[,machine[:path]]`` lines."""
+    base, parts = _index_lines(lines)
+    return base, [int(p[0]) for p in parts]
+
+
+def partfile_paths(lines: list[str]) -> list[str]:
+    """Where an index's partitions lie: at their own paths, where their lines name one, else at the base's with their numbers.
+
+    Which machine holds a partition is the file system's concern.
+    """
+    base, parts = _index_lines(lines)
+    own = [p[2].partition(":")[2] if len(p) > 2 else "" for p in parts]
+    return [path or f"{base}.{int(p[0]):08x}" for p, path in zip(parts, own, strict=True)]
+
+
+def _index(uri: str) -> str:
+    """partfile:///path is a local path; partfile:hdfs://host/path is one in another file system."""
+    inner = uri.removeprefix("partfile:")
+    return "file://" + urlparse(uri).path if inner.startswith("//") else inner
 
 
 def _read_partfile(spark: SparkSession, uri: str, format: str = "text", schema=None, **options) -> DataFrame:
-    index = "file://" + urlparse(uri).path
-    base, numbers = read_partfile_index([r["value"] for r in spark.read.option("wholetext", False).text(index).coalesce(1).toLocalIterator()])
+    lines = [r["value"] for r in spark.read.text(_index(uri)).coalesce(1).toLocalIterator()]
     reader = spark.read.format(format).options(**options)
-    frame = (reader.schema(schema) if schema is not None else reader).load([f"{base}.{n:08x}" for n in numbers])
+    frame = (reader.schema(schema) if schema is not None else reader).load(partfile_paths(lines))
     return frame.withColumnRenamed("value", "line") if format == "text" else frame
 
 
-def _write_partfile(df: DataFrame, uri: str, replace: bool, **_) -> None:
-    """One text file per partition of df, named base.XXXXXXXX, and the index; for stores that the driver can reach."""
-    spark, index = df.sparkSession, "file://" + urlparse(uri).path
+def _write_partfile(df: DataFrame, uri: str, replace: bool, format: str = "text", compression: str | None = None, **options) -> None:
+    """One file per partition of df, named base.XXXXXXXX, and the index.
+
+    A compressed partition's name ends in its codec's suffix, which readers tell
+    it by; its line in the index then names its path.
+    """
+    spark, index = df.sparkSession, _index(uri)
     base = posixpath.splitext(index)[0]
     folder = f"{base}.{uuid.uuid4().hex}"
-    df.write.text(folder)
+    writer = df.write.format(format).options(**options)
+    (writer.option("compression", compression) if compression else writer).save(folder)
     path, system = _path(spark, folder)
     parts = sorted((s.getPath().getName(), s) for s in system.listStatus(path) if s.getPath().getName().startswith("part-"))
     lines = [base, str(len(parts))]
-    for n, (_, status) in enumerate(parts):
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{base}.{n:08x}")
+    for n, (name, status) in enumerate(parts):
+        suffix = posixpath.splitext(name)[1] if compression and format == "text" else ""
+        suffix = "" if suffix == ".txt" else suffix
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{base}.{n:08x}{suffix}")
         system.delete(target, False)
         system.rename(status.getPath(), target)
-        lines.append(f"{n},{status.getLen()}")
+        lines.append(f"{n},{status.getLen()}" + (f",any:{base}.{n:08x}{suffix}" if suffix else ""))
     system.delete(path, True)
     out = system.create(spark._jvm.org.apache.hadoop.fs.Path(index), replace)
     out.write(bytearray("\n".join(lines) + "\n", "utf-8"))
@@ -120,7 +147,7 @@ def _write_partfile(df: DataFrame, uri: str, replace: bool, **_) -> None:
 
 
 def _exists_partfile(spark: SparkSession, uri: str) -> bool:
-    return _exists_file(spark, "file://" + urlparse(uri).path)
+    return _exists_file(spark, _index(uri))
 
 
 for _scheme in FILE_SCHEMES:

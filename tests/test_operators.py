@@ -15,6 +15,7 @@ from lattica.errors import (
     DuplicateStore,
     EmptySequence,
     MoreThanOne,
+    NameClash,
     NotOrdered,
     OrderRequired,
     PartitionMismatch,
@@ -22,9 +23,10 @@ from lattica.errors import (
     UnknownScheme,
 )
 from lattica.functions import scalar
+from lattica.operators import aggregates as A
 from lattica.operators import decompose, ordering, partition, relational
 from lattica.session import Context
-from lattica.sources.stores import Provider, read_partfile_index, register
+from lattica.sources.stores import Provider, partfile_paths, read_partfile_index, register
 from lattica.streaming import events
 
 
@@ -283,3 +285,106 @@ def test_filters_and_columns_reach_the_scan(spark):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     plan = Dataset(orders).where(F.col("o_totalprice") > 1000).distinct().select("o_orderkey").frame._jdf.queryExecution().toString()
     assert "GreaterThan(o_totalprice,1000.0)" in plan.replace("PushedFilters: [IsNotNull(o_totalprice), ", "")
+
+
+BIG = 2**53 + 1
+
+
+class _Count:
+    def seed(self, row):
+        return 1
+
+    def accumulate(self, state, row):
+        return state + 1
+
+    def merge(self, a, b):
+        return a + b
+
+    def final(self, state):
+        return state
+
+
+def test_large_null_and_nan_keys_stay_apart(spark):
+    rows = [(BIG, 1.0), (BIG - 1, 1.0), (None, float("nan")), (BIG, None), (None, float("nan"))]
+    frame = spark.createDataFrame(rows, "k long, d double").coalesce(1)
+    assert {r["k"]: r["result"] for r in Dataset(frame).aggregate_by(["k"], ["d"], _Count(), "long").frame.collect()} == {BIG: 2, BIG - 1: 1, None: 2}
+    found = Dataset(frame).aggregate_by(["d"], ["k"], _Count(), "long").frame.collect()
+    assert sorted((str(r["d"]), r["result"]) for r in found) == [("1.0", 2), ("None", 1), ("nan", 2)]
+
+
+def test_a_column_of_ones_own_named_idx(spark):
+    data = Dataset(spark.createDataFrame([(k, 77 + k) for k in range(6)], "id long, idx long"), ("id",))
+    assert [tuple(r) for r in data.skip(4).frame.orderBy("id").collect()] == [(4, 81), (5, 82)]
+    assert [r["id"] for r in data.where_indexed(F.col("idx") == 79).frame.collect()] == [2]
+    assert sorted(r["id"] for r in data.take_while(F.col("idx") < 80).frame.collect()) == [0, 1, 2]
+    pairs = sorted((r["idx"], r["left"]["idx"], r["right"]["idx"]) for r in data.zip(data).skip(4).frame.collect())
+    assert pairs == [(4, 81, 81), (5, 82, 82)]
+    plain = data.select("id")
+    assert plain.with_index().skip(2).frame.columns == ["id", "idx"]
+    assert plain.with_index().take_while(F.col("idx") < 2).frame.count() == 2
+    assert data.element_at(3)["idx"] == 80 and data.element_at(9, default=True) is None
+    with pytest.raises(NameClash):
+        data.with_index()
+
+
+def test_joins_of_a_dataset_with_itself(spark):
+    data = Dataset(spark.createDataFrame([(1, 2), (2, 3), (None, 1)], "a long, b long"))
+    got = data.join(data, ["a"], ["b"], lambda o, i: [o["a"].alias("x"), i["a"].alias("y")]).frame.collect()
+    assert sorted((r["x"], r["y"] or 0) for r in got) == [(1, 0), (2, 1)]
+
+
+def test_group_join_without_matches(spark):
+    left, right = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "x", 5)], "j long, t string, v long")
+    aggregates = {"orders": F.count("*"), "n_name": F.max("t"), "total": A.sum_of(right, "v"), "raw": F.sum("v")}
+    got = Dataset(left).group_join(Dataset(right), ["k"], ["j"], aggregates).order_by("k").frame.collect()
+    assert [tuple(r) for r in got] == [(1, 1, "x", 5, 5), (2, 0, None, 0, None)]
+
+
+def test_order_check_with_nulls(spark):
+    rows = Dataset(spark.createDataFrame([(None,), (1,), (2,)], "x long").coalesce(1), ("x",))
+    assert rows.check_order_by("x").frame.count() == 3
+    with pytest.raises(NotOrdered):
+        Dataset(spark.createDataFrame([(1,), (None,)], "x long").coalesce(1), ("x",)).check_order_by("x")
+
+
+def test_whole_division_of_large_numbers(spark):
+    row = spark.range(1).select(scalar.int_div(F.lit(BIG), F.lit(1)).alias("a"), scalar.int_div(F.lit(-7), F.lit(2)).alias("b")).first()
+    assert tuple(row) == (BIG, -3)
+
+
+def test_several_datasets_that_are_empty_or_of_other_types(spark):
+    a, b = spark.createDataFrame([], "x long"), spark.createDataFrame([("q", BIG), ("r", None)], "s string, n long")
+    sizes = lambda frames: pd.DataFrame({"n": [len(f) for f in frames]})
+    assert [r["n"] for r in Dataset(a).apply_many([Dataset(a)], sizes, "n long").frame.collect()] in ([0, 0], [])
+    assert sorted(r["n"] for r in Dataset(a).apply_many([Dataset(b)], sizes, "n long").frame.collect()) == [0, 2]
+    with pytest.raises(PartitionMismatch):
+        Dataset(b.repartition(2)).apply_per_partition_many([Dataset(b.repartition(3))], sizes, "n long")
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_broadcast_on_both_sides_of_its_bound(spark, monkeypatch, most):
+    monkeypatch.setattr(partition, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(partition, "BATCH_ROWS", 7)
+    data, other = Dataset(spark.range(40).repartition(3)), Dataset(spark.range(5))
+
+    def run(batches, whole):
+        yield pd.DataFrame({"n": [sum(len(b) for b in batches) * len(whole)]})
+
+    assert sum(r["n"] for r in data.apply_with_broadcast(other, run, "n long").frame.collect()) == 200
+
+
+def test_folds_run_lazily_in_one_task(spark):
+    data = Dataset(spark.createDataFrame([(k, None if k == 1 else BIG + k) for k in range(4)], "k long, v long"), ("k",))
+    assert data.fold("v", list, lambda s, v: [*s, v]) == [BIG, None, BIG + 2, BIG + 3]
+    assert data.aggregate_as_query("v", 0, lambda s, v: s + (v or 0), "long").frame.first()["result"] == 3 * BIG + 5
+
+
+def test_single_fails_on_several_rows(spark):
+    data = Dataset(spark.range(3))
+    with pytest.raises(Exception, match="MoreThanOne"):
+        data.single_as_query().frame.collect()
+    assert data.single_as_query(F.col("id") == 1).frame.collect()[0]["id"] == 1
+
+
+def test_partitions_with_paths_of_their_own():
+    assert partfile_paths(["/d/base", "3", "0,5", "10,6,host", "2,7,host:/e/other"]) == ["/d/base.00000000", "/d/base.0000000a", "/e/other"]
