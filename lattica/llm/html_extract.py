@@ -228,22 +228,21 @@ class Page:
             self.links[p] += self.links[k] + (self.tags[k] == "a")
 
     def _leave_out(self) -> None:
-        """Hinted elements are furniture, but none that holds main, the largest article or, without either, most of the text.
+        """Hinted elements are furniture, but none that holds main, without one the largest article, or without either most of the text.
 
         What stands in furniture is furniture.
         """
         n = len(self.tags)
         plain = lambda k: self.chars[k] - self.link_chars[k]
         articles = [k for k in range(n) if self.tags[k] == "article"]
-        held = [k for k in range(n) if self.tags[k] == "main"] + ([max(articles, key=lambda k: (plain(k), -k))] if articles else [])
+        held = [k for k in range(n) if self.tags[k] == "main"] or ([max(articles, key=lambda k: (plain(k), -k))] if articles else [])
         holds = [0] * n
         for k in held:
             holds[k] = 1
         for k in range(n - 1, 0, -1):
             holds[self.parents[k]] += holds[k]
         for k in self.hinted:
-            around = holds[k] - (k in held[:1] or self.tags[k] == "main")
-            self.furniture[k] |= not around and (bool(held) or 2 * plain(k) <= plain(0))
+            self.furniture[k] |= not holds[k] and (bool(held) or 2 * plain(k) <= plain(0))
         for k in range(1, n):
             self.furniture[k] |= self.furniture[self.parents[k]]
 
