@@ -1,16 +1,24 @@
 """Toxicity by weak supervision.
 
-Voters are a lexicon's terms: words, and patterns that match a word's start.
-A term's voter votes toxic where the term occurs; one more votes clean where no
-term occurs.  A generative label model estimates each voter's accuracies by
-expectation maximisation, and pairwise correlations beyond what the label
-explains, by which it discounts voters that repeat each other.  A linear
-classifier over hashed words and word starts is trained on its posterior
-labels and scores whole texts.
+Voters are a lexicon's words, patterns that match their starts, and patterns
+that know no word (masked curses, a second person beside a lexicon's word).  A
+voter votes toxic where it matches; one more votes clean where none does.  A
+generative label model estimates each voter's accuracies by expectation
+maximisation, and the pairwise correlations of either sign that the label
+doesn't explain, by which it weighs voters that repeat or exclude each other.
+No gold label enters that model.  A linear classifier over hashed words and
+word starts is trained on its posterior labels and scores whole texts.
+
+Gold labels choose voters and balance the sample, no more: a word of the lexicon
+that clean rows have nearly as often is left out, and words and word starts that
+toxic rows have far more often than clean ones extend it, as a corpus has
+insults, and languages, that no list knows.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,14 +38,60 @@ EPOCHS = 6
 LIFT = 6
 REJECT = 0.5
 
+#: Times as often among toxic examples as among clean ones that a voter of the lexicon must occur.
+VETTED = 5
+#: Correlations smaller than this are taken for chance.
+LEAST_RHO = 0.1
+#: The share of a vote that voters which exclude each other get back at most.
+EXCLUDED = 0.5
+
+#: Common insults in four languages, one meaning each as far as there are such.
+LEXICON = (
+    "idiot idiots idiotic moron morons moronic imbecile imbeciles cretin cretins stupid stupidity dimwit halfwit nitwit dunce "
+    "simpleton dumbass jackass asshole bastard bastards bitch scum scumbag trash vermin parasite filth filthy lowlife deadbeat "
+    "loser losers clown clowns jerk creep weirdo freak pathetic worthless useless disgusting repulsive vile despicable "
+    "contemptible brainless braindead ignorant coward cowards pervert sicko lunatic psycho bullshit "
+    "dummkopf vollidiot trottel depp deppen schwachkopf volltrottel arschloch mistkerl drecksack abschaum missgeburt versager "
+    "taugenichts widerlich ekelhaft erbärmlich wertlos hirnlos schwachsinnig blödmann schlampe hurensohn "
+    "imbécile imbéciles crétin crétins abruti abrutie connard connasse salaud salope ordure raclure débile minable pathétique "
+    "dégoûtant répugnant méprisable bouffon enfoiré "
+    "imbécil imbéciles estúpido estúpida gilipollas cabrón pendejo escoria basura patético patética asqueroso asquerosa "
+    "despreciable inútil payaso perdedor cobarde cretino"
+).split()
+#: Second persons that stand beside an insult, and a curse whose middle is masked.
+SECOND = "you your you're youre ur du dich ihr tu toi vous tú eres usted".split()
+MASKED = re.compile(rb"[A-Za-z][*#@$%]{2,}[A-Za-z]")
+
 #: ASCII other than letters and digits is no part of a word.
 _BLANK = bytes(b if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def _terms(text: bytes) -> set[bytes]:
     """A text's distinct words in lower case, and the starts of longer ones in bytes, marked by a star."""
-    words = set(text.decode("utf-8", "replace").lower().encode().translate(_BLANK).split())
-    return words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in STARTS))
+    run = text.decode("utf-8", "replace").lower().encode().translate(_BLANK).split()
+    words = set(run)
+    found = words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in STARTS))
+    if not words.isdisjoint(_INSULTS) and any((a in _SECOND and b in _INSULTS) or (b in _SECOND and a in _INSULTS) for a, b in _near(run)):
+        found.add(b"<second person>")
+    if MASKED.search(text):
+        found.add(b"<masked>")
+    return found
+
+
+_INSULTS, _SECOND = {w.encode() for w in LEXICON}, {w.encode() for w in SECOND}
+
+
+def _near(run: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of words at most three apart."""
+    for gap in (1, 2, 3):
+        yield from zip(run, run[gap:], strict=False)
+
+
+def lexicon_terms(lexicon: list[str]) -> set[bytes]:
+    """The lexicon's words, the starts that patterns match, and the patterns without words."""
+    words = {w.lower().encode() for w in lexicon}
+    starts = set().union(*({w[:n] + b"*" for w in words if len(w) > n} for n in STARTS[1:]))
+    return words | starts | {b"<second person>", b"<masked>"}
 
 
 def find_voters(rows: list[np.ndarray], labels: np.ndarray, size: int, most: int = VOTERS) -> np.ndarray:
@@ -54,6 +108,13 @@ def find_voters(rows: list[np.ndarray], labels: np.ndarray, size: int, most: int
     return order[strength[order] > 0]
 
 
+def _vetted(voters: np.ndarray, rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The lexicon's voters without those that mean something else in these texts."""
+    hits = {label: np.sum([np.isin(voters, r, assume_unique=True) for r, y in zip(rows, labels, strict=True) if y == label] or [np.zeros(len(voters), bool)], axis=0) for label in (0, 1)}
+    n, m = max(int(labels.sum()), 1), max(int((1 - labels).sum()), 1)
+    return voters[(hits[1] / n >= VETTED * hits[0] / m) & (hits[1] > 0)]
+
+
 @dataclass
 class LabelModel:
     """Vote rates of each voter among toxic and clean texts, the prior, and the discount for correlated voters."""
@@ -72,9 +133,11 @@ class LabelModel:
 def fit_label_model(votes: np.ndarray, rounds: int = 30) -> LabelModel:
     """Expectation maximisation from the voters alone: votes is texts by voters, the last column votes clean.
 
-    Starts from whether any voter says toxic.  Each round re-estimates rates and
-    the correlations that remain within either label; a voter is discounted by
-    its summed correlations with the others, so copies share one vote.
+    Starts from whether any voter says toxic.  Each round re-estimates the vote
+    rates and the correlations, of either sign, that remain within the labels.
+    A voter is divided by its summed positive correlations, itself included, so
+    copies share one vote; what it excludes gives up to half of a share back,
+    as far as a whole vote.
     """
     votes = votes.astype(float)
     q = np.clip((votes[:, :-1].sum(axis=1) > 0).astype(float), 0.05, 0.95)
@@ -84,13 +147,13 @@ def fit_label_model(votes: np.ndarray, rounds: int = 30) -> LabelModel:
         toxic = (q @ votes + 0.1) / (q.sum() + 1)
         clean = ((1 - q) @ votes + 0.01) / ((1 - q).sum() + 1)
         toxic, clean = np.clip(toxic, 1e-4, 1 - 1e-4), np.clip(clean, 1e-4, 1 - 1e-4)
-        centred = q[:, None] * (votes - toxic)
-        cov = centred.T @ (votes - toxic) / max(q.sum(), 1)
-        spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        rho = np.clip(cov / np.outer(spread, spread), 0, 1)
-        rho[rho < 0.1] = 0
+        left = (q[:, None] * (votes - toxic)).T @ (votes - toxic) + ((1 - q)[:, None] * (votes - clean)).T @ (votes - clean)
+        spread = np.sqrt(np.maximum(np.diag(left), 1e-9))
+        rho = left / np.outer(spread, spread)
+        rho[np.abs(rho) < LEAST_RHO] = 0
         np.fill_diagonal(rho, 1)
-        model = LabelModel(toxic, clean, prior, 1 / rho.sum(axis=1))
+        repeats, excludes = np.maximum(rho, 0).sum(axis=1), np.maximum(-rho, 0).sum(axis=1)
+        model = LabelModel(toxic, clean, prior, np.minimum(1, (1 + EXCLUDED * excludes / (1 + excludes)) / repeats))
         new = model.posterior(votes)
         if np.abs(new - q).max() < 1e-4:
             break
@@ -109,30 +172,26 @@ def _telling(rows: list[np.ndarray], posterior: np.ndarray, size: int) -> np.nda
 
 
 def _packed(texts: list) -> dict:
-    return {"terms": [b" ".join(sorted(_terms(text))) for text in known(texts)]}
+    return {"terms": [b"\t".join(sorted(_terms(text))) for text in known(texts)]}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: list[str] | None = None, most: int = FIT_BYTES) -> tuple[float, dict[bytes, float]] | None:
-    """The classifier's bias and its weights by term.  None where there are no voters or no texts to vote on.
-
-    The driver holds the terms of 2 * sample texts and one number per distinct term.
-    """
-    found, numbers = [], {}
-    for label in (0, 1):
-        own = labelled_sample(docs, labels.where(F.col("toxic") == label), "toxic", sample)
-        rows = bounded(through(own, "terms binary", lambda: _packed, kept=["label"]), "terms", "terms", most)
-        found += [(np.array([numbers.setdefault(t, len(numbers)) for t in bytes(r["terms"]).split(b" ")], np.int64), r["label"]) for r in rows]
+def train(found: list[tuple[bytes, int]], lexicon: list[str] | None = None) -> tuple[float, dict[bytes, float]] | None:
+    """The classifier's bias and its weights by term, from texts' terms (between tabs) and labels; None without voters or texts."""
+    numbers: dict[bytes, int] = {}
+    split = [([numbers.setdefault(t, len(numbers)) for t in terms.split(b"\t") if t], label) for terms, label in found]
     # The same order of rows and terms on any cluster.
     names = sorted(numbers)
     place = np.empty(len(names), np.int64)
     for k, name in enumerate(names):
         place[numbers[name]] = k
-    ready = sorted(((np.sort(place[at]), label) for at, label in found), key=lambda row: (row[1], row[0].tobytes()))
+    ready = sorted(((np.sort(place[np.array(at, np.int64)]), label) for at, label in split), key=lambda row: (row[1], row[0].tobytes()))
     rows, y = [at for at, _ in ready], np.array([label for _, label in ready])
+    if not rows:
+        return None
+    wanted = lexicon_terms(LEXICON if lexicon is None else lexicon)
+    voters = np.array([k for k, name in enumerate(names) if name in wanted], np.int64)
     if lexicon is None:
-        voters = find_voters(rows, y, len(names)) if rows else []
-    else:
-        voters = [k for k, name in enumerate(names) if name in {t.lower().encode() for t in lexicon}]
+        voters = np.union1d(_vetted(voters, rows, y), find_voters(rows, y, len(names))).astype(np.int64)
     if not len(voters):
         return None
     votes = np.array([np.isin(voters, at, assume_unique=True) for at in rows])
@@ -144,6 +203,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: list[
     return float(weights[0]), {names[k]: float(weights[k + 1]) for k in range(len(names)) if weights[k + 1]}
 
 
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: list[str] | None = None, most: int = FIT_BYTES) -> tuple[float, dict[bytes, float]] | None:
+    """train() on at most ``sample`` labelled rows of either label, of ``most`` bytes together, that aren't held out."""
+    found = []
+    for label in (0, 1):
+        own = labelled_sample(docs, labels.where(F.col("toxic") == label), "toxic", sample)
+        rows = bounded(through(own, "terms binary", lambda: _packed, kept=["label"]), "terms", "terms", most // 2)
+        found += [(bytes(r["terms"]), r["label"]) for r in rows]
+    return train(found, lexicon)
+
+
 def score(texts: list[bytes], model: tuple[float, dict[bytes, float]] | None) -> list[float]:
     if model is None:
         return [0.0] * len(texts)
@@ -162,8 +231,8 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, name: str, sample: int = S
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = REJECT, sample: int = SAMPLE, lexicon: list[str] | None = None) -> DataFrame:
     """docs (doc_id, text, ...) and labels (doc_id, toxic, ...) to (doc_id, held_out, score, predicted), a row per row.
 
-    Without a lexicon of one's own, terms are found in the labelled rows whose
-    crc32(doc_id as text) mod 5 is not 0: at most ``sample`` of either label.
+    Models are fitted on the labelled rows whose crc32(doc_id as text) mod 5 is
+    not 0: at most ``sample`` of either label.  ``lexicon`` replaces LEXICON.
 
     Defined cases: null, empty and blank texts have the bias alone and so one
     score; labels that are null or neither 0 nor 1, and ids without a text, are
