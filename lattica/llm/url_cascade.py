@@ -20,25 +20,36 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.llm.common import cut, prepare
 
-#: Bits of the largest level: 32 MB, so its broadcast is bounded.
+#: Bits of a level: 32 MB, so its broadcast is bounded.  Longer lists are dealt over several cascades.
 MOST_BITS = 1 << 28
 MOST_LEVELS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def hashes_of(listed_keys: int, others: int, first: bool) -> int:
+    """Hash functions of a level: for a false positive rate of a half, or lower at the first level where lists are short."""
+    rate = min(0.5, listed_keys * math.sqrt(0.5) / max(others, 1)) if first else 0.5
+    return max(1, math.ceil(-math.log2(rate)))
+
+
+def shards_of(listed_keys: int, others: int) -> int:
+    """Cascades that a list is dealt over by hash, so that no level has more than MOST_BITS."""
+    bits = max(listed_keys * hashes_of(listed_keys, others, True), others) / math.log(2)
+    return max(1, math.ceil(bits / (0.9 * MOST_BITS)))
+
+
 class Level:
-    """One Bloom filter over pairs of 64-bit hashes."""
+    """One Bloom filter over pairs of 64-bit hashes, eight bits a byte."""
 
-    def __init__(self, keys: int, rate: float, salt: int):
-        self.hashes = max(1, math.ceil(-math.log2(rate)))
-        self.size = max(64, math.ceil(keys * self.hashes / math.log(2)))
-        if self.size > MOST_BITS:
-            raise ValueError(f"{keys} keys need {self.size} bits; a level has {MOST_BITS} at most")
+    def __init__(self, keys: int, hashes: int, salt: int):
+        self.hashes = hashes
+        self.size = max(64, math.ceil(keys * hashes / math.log(2)))
         self.salt = salt
-        self.bits = np.zeros(self.size, bool)
+        self.bits = np.zeros(-(-self.size // 8), np.uint8)
 
     def at(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The positions of each key: a row for each."""
@@ -48,7 +59,14 @@ class Level:
         return (x >> np.uint64(16)) % np.uint64(self.size)
 
     def has(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        return self.bits[self.at(h1, h2)].all(axis=1)
+        at = self.at(h1, h2)
+        return ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+
+    def set(self, words: np.ndarray, masks: np.ndarray) -> None:
+        """Sets the bits of 32-bit words, each given once."""
+        packed = np.zeros(-(-self.size // 32), "<u4")
+        packed[words] = masks
+        self.bits |= packed.view(np.uint8)[: len(self.bits)]
 
 
 def listed(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -92,7 +110,8 @@ def build(universe: DataFrame) -> list[Level]:
     """The cascade of a universe (key, listed: 0 or 1) of distinct keys.
 
     Ends when a level has nothing to encode; two hashes of 64 bits tell keys
-    apart.  What reaches the driver is a level's bits, which MOST_BITS bounds.
+    apart.  What reaches the driver is a level's bits, which MOST_BITS bounds
+    where the universe is one shard of shards_of().
     """
     spark = universe.sparkSession
     keys = cut(universe.select("listed", *_hashes("key")))
@@ -102,21 +121,17 @@ def build(universe: DataFrame) -> list[Level]:
     while waiting:
         if len(levels) == MOST_LEVELS:
             raise RuntimeError("the cascade does not end: keys with equal hashes")
-        rate = min(0.5, waiting * math.sqrt(0.5) / max(counts.get(0, 0), 1)) if not levels else 0.5
-        level = Level(waiting, rate, len(levels) + 1)
+        level = Level(waiting, hashes_of(waiting, counts.get(0, 0), not levels), len(levels) + 1)
         own = keys.mapInPandas(_inserted(spark.sparkContext.broadcast(levels), 1 - len(levels) % 2), "h1 long, h2 long")
         words = own.mapInPandas(_words(level), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-        masks = words["mask"].to_numpy(np.int64)
-        for bit in range(32):
-            on = words["word"].to_numpy(np.int64)[(masks >> bit) & 1 == 1] * 32 + bit
-            level.bits[on] = True
+        level.set(words["word"].to_numpy(np.int64), words["mask"].to_numpy(np.int64))
         levels.append(level)
         wanted = 1 - len(levels) % 2
         waiting = keys.mapInPandas(_inserted(spark.sparkContext.broadcast(levels), wanted), "h1 long, h2 long").count()
     return levels
 
 
-def _hashes(key: str) -> list[Column]:
+def _hashes(key: str | Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2")]
 
 
@@ -147,21 +162,21 @@ def _keys(rules: list[tuple[str, str]]) -> Column:
     return F.transform(F.array_sort(pairs), lambda p: p["key"])
 
 
-def _judge(allowed, blocked):
+def _flags(allowed, blocked, shard: int, shards: int):
+    """For each key of a url whether it is in a list: 1 allowed, 2 blocked, 3 both; 0 also for keys of other shards."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pc.list_value_length(batch.column("keys")).to_numpy(zero_copy_only=False)
-            flat = batch.column("keys").flatten()
-            h1, h2 = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
-            allow, block = listed(allowed.value, h1, h2), listed(blocked.value, h1, h2)
-            hit, starts = allow | block, np.concatenate([[0], np.cumsum(sizes)])
-            rules, verdicts = [], []
-            for k in range(batch.num_rows):
-                own = np.flatnonzero(hit[starts[k] : starts[k + 1]])
-                rules.append(flat[int(starts[k] + own[0])].as_py() if len(own) else None)
-                verdicts.append("block" if len(own) and block[starts[k] + own[0]] else "allow")
-            out = [*(batch.column(c) for c in ("page_id", "host", "path")), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, names=["page_id", "host", "path", "rule", "verdict"])
+            hashes = batch.column("hashes")
+            flat = hashes.flatten()
+            h1, h2 = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1))
+            found = listed(allowed.value, h1, h2).astype(np.int8) | listed(blocked.value, h1, h2).astype(np.int8) << 1
+            found[h1 % np.uint64(shards) != shard] = 0
+            sizes = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            flags = pa.ListArray.from_arrays(pa.array(ends), pa.array(found))
+            out = [batch.column(c) if c != "hashes" else hashes for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([*out, flags], names=[*batch.schema.names, "found"])
 
     return run
 
@@ -196,11 +211,26 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
         .groupBy("key")
         .agg(F.max((F.col("verdict") == "allow").cast("int")).alias("allowed"), F.max((F.col("verdict") == "block").cast("int")).alias("blocked"))
     )
+    counts = universe.agg(F.count("*"), F.sum("allowed"), F.sum("blocked")).first()
+    shards = max(shards_of(own or 0, counts[0] - (own or 0)) for own in counts[1:])
     share = spark.sparkContext.broadcast
-    allowed, blocked = (share(build(universe.select("key", F.col(c).alias("listed")))) for c in ("allowed", "blocked"))
-    ready = keyed.withColumn("h1", F.transform("keys", lambda k: F.xxhash64(k))).withColumn("h2", F.transform("keys", lambda k: F.xxhash64(k, F.lit(1))))
-    kind = dict(pages.dtypes)["page_id"]
-    return ready.mapInArrow(_judge(allowed, blocked), f"page_id {kind}, host string, path string, rule string, verdict string")
+    ready = keyed.withColumns({"hashes": F.transform("keys", lambda k: F.struct(*_hashes(k))), "flags": F.transform("keys", lambda _: F.lit(0).cast("byte"))})
+    for shard in range(shards):
+        # A pass over the urls for each shard; a usual list is one.
+        part = universe if shards == 1 else universe.where(_shard(F.xxhash64("key"), shards) == shard)
+        allowed, blocked = (share(build(part.select("key", F.col(c).alias("listed")))) for c in ("allowed", "blocked"))
+        fields = T.StructType([*ready.schema.fields, T.StructField("found", T.ArrayType(T.ByteType()))])
+        marked = ready.mapInArrow(_flags(allowed, blocked, shard, shards), fields)
+        ready = marked.withColumn("flags", F.zip_with("flags", "found", lambda a, b: F.greatest(a, b))).drop("found")
+    hits = F.filter(F.arrays_zip("keys", "flags"), lambda k: k["flags"] > 0)
+    first = F.get(hits, F.lit(0))
+    verdict = F.when(first["flags"] >= 2, "block").otherwise("allow")
+    return ready.select("page_id", "host", "path", first["keys"].alias("rule"), verdict.alias("verdict"))
+
+
+def _shard(h1: Column, shards: int) -> Column:
+    """h1 as an unsigned number, modulo the shards."""
+    return F.pmod(F.pmod(h1, F.lit(shards)) + F.when(h1 < 0, F.lit((1 << 64) % shards)).otherwise(F.lit(0)), F.lit(shards))
 
 
 #: The rules of the registered query.
