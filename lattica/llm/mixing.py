@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 
 from lattica.llm.common import cut, prepare
 
-#: Sources whose rates are broadcast; with more of them, documents are joined by a shuffle.
-BROADCAST_SOURCES = 20_000
+#: Sources, and bytes of their rates, that are broadcast; beyond either, documents are joined by a shuffle.
+BROADCAST_SOURCES, BROADCAST_BYTES = 20_000, 8 << 20
 #: Digits of a hash that make a uniform number, and their range.
 DIGITS, RANGE = 13, float(1 << 52)
 
@@ -36,10 +36,6 @@ def _log_factorial(k: Column) -> Column:
     return series
 
 
-def _identity() -> Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
-
-
 def rates(docs: DataFrame, group: str, weights: dict | None, alpha: float, total: int | None) -> DataFrame:
     """(mix_key, mix_rate) of each source: target share * total / rows."""
     counts = cut(docs.groupBy(F.col(group).alias("mix_key")).agg(F.count("*").alias("n")))
@@ -90,26 +86,26 @@ def poisson_mix(
     Defined cases: a null source is a source; a null or empty text is a
     document like others; a row without doc_id draws by its text's hash;
     repeated rows draw the same number of copies each; an empty table, or
-    weights of zero, give an empty result.  Other columns pass through.
+    weights of zero, give an empty result.  Other columns pass through, whatever
+    their names, but a column ``copy`` gives way to the copies' numbers.
     """
     prepare(docs.sparkSession)
     steps = cut(_steps(rates(docs, group, weights, alpha, total)))
-    if steps.count() <= BROADCAST_SOURCES:
+    sources, held = steps.agg(F.count("*"), F.sum(8 * F.size("mix_steps") + F.coalesce(F.octet_length(F.col("mix_key").cast("string")), F.lit(0)) + 32)).first()
+    if sources <= BROADCAST_SOURCES and (held or 0) <= BROADCAST_BYTES:
         steps = F.broadcast(steps)
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    joined = docs.alias("d").join(steps.alias("s"), F.col(f"d.`{group}`").eqNullSafe(F.col("s.mix_key")))
-    identity = F.coalesce(F.col("d.doc_id").cast("string"), F.md5("d.text"), F.lit(""))
+    # Names of one's own for the columns: none of theirs can clash with what is added here.
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    joined = docs.toDF(*names.values()).join(steps, F.col(names[group]).eqNullSafe(F.col("mix_key")))
+    identity = F.coalesce(F.col(names["doc_id"]).cast("string"), F.md5(names["text"]), F.lit(""))
     uniform = _digits(F.concat(F.lit(f"{seed}:"), identity)) / F.lit(RANGE)
-    count = F.col("s.mix_low") + F.size(F.filter("s.mix_steps", lambda c: c <= F.col("lattica_uniform")))
-    names = [c for c in docs.columns if c != "copy"]
-    drawn = (
-        joined.withColumn("lattica_uniform", uniform)
-        .withColumn("lattica_count", count.cast("int"))
-        .where("lattica_count > 0")
-        .select(*[c for c, n in zip(own, docs.columns, strict=True) if n in names], F.explode(F.sequence(F.lit(1), F.col("lattica_count"))).alias("copy"))
-    )
-    place = _digits(F.concat_ws(":", F.lit(f"{seed}:place"), _identity(), F.col("copy").cast("string")))
-    return drawn.withColumn("lattica_place", place).repartition("lattica_place").sortWithinPartitions("lattica_place").drop("lattica_place")
+    count = (F.col("mix_low") + F.size(F.filter("mix_steps", lambda c: c <= F.col("mix_uniform")))).cast("int")
+    kept = {c: n for c, n in names.items() if c != "copy"}
+    drawn = joined.withColumn("mix_uniform", uniform).withColumn("mix_count", count).where("mix_count > 0")
+    drawn = drawn.select(*kept.values(), identity.alias("mix_identity"), F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("mix_copy"))
+    place = _digits(F.concat_ws(":", F.lit(f"{seed}:place"), "mix_identity", F.col("mix_copy").cast("string")))
+    dealt = drawn.withColumn("mix_place", place).repartition("mix_place").sortWithinPartitions("mix_place")
+    return dealt.select(*kept.values(), "mix_copy").toDF(*kept, "copy")
 
 
 #: The same rows in DuckDB: documents mixed by source with alpha 0.5 and seed 1.
