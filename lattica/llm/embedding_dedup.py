@@ -23,8 +23,8 @@ from lattica.llm.components import components
 CELL = 1024
 #: Most classes, over all labels, in the sample that centroids are fitted on.
 SAMPLE = 16_384
-#: Most cells of a label; labels share the sample.
-MOST_CELLS = 256
+#: Most cells of a label; labels share the sample, and a cell has four classes of it at least.
+MOST_CELLS = 4096
 ROUNDS = 8
 
 
