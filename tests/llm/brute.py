@@ -89,3 +89,72 @@ def judge(url, rules):
     fitting = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
     best = max(fitting, key=lambda r: (len(r[1] + r[2]), len(r[1])), default=None)
     return host, path, best and best[1] + best[2], best[0] if best else "allow"
+
+
+def main_node(tags, parents, texts, furniture):
+    """The selected node by the definition of composite text density, each node summed over its own subtree.
+
+    tags and parents by node; texts: (node, characters, those in links).
+    """
+    nodes = range(len(tags))
+
+    def within(k, top):
+        while k > top:
+            k = parents[k]
+        return k == top
+
+    def density(k):
+        below = [n for n in nodes if n != k and within(n, k)]
+        c = sum(size for n, size, _ in texts if within(n, k))
+        lc = sum(size for n, _, size in texts if within(n, k))
+        all_c, all_lc = sum(t[1] for t in texts), sum(t[2] for t in texts)
+        if not c:
+            return 0.0
+        t, lt = max(len(below), 1), max(sum(tags[n] == "a" for n in below), 1)
+        base = c / max(c - lc, 1) * max(lc, 1) + all_lc / max(all_c, 1) * c + np.e
+        return max(c / t * np.log(max(c / max(lc, 1) * t / lt, 1)) / np.log(np.log(base)), 0.0)
+
+    found = [density(k) for k in nodes]
+    sums = [sum(found[n] for n in nodes if parents[n] == k) for k in nodes]
+    fit = [k for k in nodes if not furniture[k] and (sums[k] > 0 or found[k] > 0)]
+    if not fit:
+        return None
+    best = max(fit, key=lambda k: (round(sums[k], 9), any(tags[n] in ("article", "main") and within(k, n) for n in nodes), round(found[k], 9), -k))
+    path = [n for n in nodes if within(best, n)]
+    least = min(found[k] for k in path)
+    return next((k for k in path if found[k] > least), best)
+
+
+def common_words(text, template):
+    """Length of the longest common subsequence of two lists of words."""
+    row = [0] * (len(template) + 1)
+    for word in text:
+        last = 0
+        for k, own in enumerate(template):
+            last, row[k + 1] = row[k + 1], last + 1 if word == own else max(row[k + 1], row[k])
+    return row[-1]
+
+
+def ftrl_score(rows, labels, vectors, bits, order, alpha, l1, l2, beta=1.0):
+    """Probabilities by follow-the-regularised-leader, one coordinate after another."""
+    z, n = {}, {}
+
+    def weight(i):
+        own = z.get(i, 0.0)
+        if abs(own) <= l1:
+            return 0.0
+        return -(own - np.sign(own) * l1) / ((beta + np.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    def chance(at, x):
+        return 1 / (1 + np.exp(-np.clip(sum(weight(int(i)) * v for i, v in zip(at, x)), -40, 40)))
+
+    for k in order:
+        at, x = rows[k]
+        error = chance(at, x) - labels[k]
+        before = {int(i): weight(int(i)) for i in at}
+        for i, v in zip(at, x):
+            i, g = int(i), error * v
+            sigma = (np.sqrt(n.get(i, 0.0) + g * g) - np.sqrt(n.get(i, 0.0))) / alpha
+            z[i] = z.get(i, 0.0) + g - sigma * before[i]
+            n[i] = n.get(i, 0.0) + g * g
+    return [chance(at, x) for at, x in vectors]
