@@ -2,22 +2,25 @@
 
 A capture is written as three records by Spark's text writer, whose line
 separator is the blank lines between records; only the payloads of first
-occurrences are stored.  Archives are read whole, file by file, and parsed by
-their Content-Length.  Requests, responses and metadata are joined through
-their concurrent-to identifiers into one nested row per capture.
+occurrences are stored.  Gzipped archives are read as streams, whatever their
+size, and parsed by their Content-Length.  Requests, responses and metadata are
+joined through their concurrent-to identifiers into one nested row per capture.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lattica.llm.common import cut, prepare, shared_folder
 
@@ -25,8 +28,10 @@ END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are stored each time.
 LEAST_REVISIT = 100
-#: Captures in a file at most, so that a file is read by one task in bounded memory.
+#: Captures in a file at most, so that there are files for many tasks; memory doesn't depend on it.
 CAPTURES_A_FILE = 4096
+#: Spark's line reader cuts a gzipped archive here into rows; their bytes are joined again before records are parsed.
+BETWEEN = "\r\n\r\nWARC/"
 #: Bytes of blocks that the reader holds before it passes records on.
 READ_BYTES = 4 << 20
 
@@ -186,43 +191,85 @@ def _payload(headers: dict[str, str], block: bytes) -> tuple[str | None, int | N
     return digest, len(payload)
 
 
-def _table(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    """Rows as objects: large integers beside nulls stay as they are."""
-    return pd.DataFrame(rows, columns=columns, dtype=object).astype({"payload_bytes": "Int64", "page_id": "Int64"})
-
-
-def _parsed(keep_blocks: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in RECORDS.split(", ")]
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                packed = content[:2] == b"\x1f\x8b"
-                stream = io.BufferedReader(_Inflated(content), 1 << 16) if packed else io.BytesIO(content)
-                rows, held = [], 0
-                for headers, block in parse(stream, path):
-                    kind = headers.get("warc-type", "")
-                    digest = size = page = None
-                    if kind in ("response", "revisit") and "http" in headers.get("content-type", ""):
-                        digest, size = _payload(headers, block)
-                    if kind == "metadata" and "warc-fields" in headers.get("content-type", ""):
-                        value = _lines(io.BytesIO(block + b"\r\n"), path).get("page-id", "")
-                        page = int(value) if value.lstrip("-").isdigit() else None
-                    names = ("warc-record-id", "warc-concurrent-to", "warc-target-uri", "warc-refers-to")
-                    rows.append((kind, *[headers.get(n) for n in names], digest, size, page, block if keep_blocks else None))
-                    held += len(block)
-                    if held >= READ_BYTES or len(rows) >= 2048:
-                        yield _table(rows, columns)
-                        rows, held = [], 0
-                yield _table(rows, columns)
+class _Joined(io.RawIOBase):
+    """The bytes of an archive from the pieces that the line reader made of it."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.left, self.begun = pieces, memoryview(b""), False
+
+    def readable(self):
+        return True
+
+    def readinto(self, buffer):
+        while not len(self.left):
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.left, self.begun = memoryview(BETWEEN.encode() + piece if self.begun else piece), True
+        taken = min(len(buffer), len(self.left))
+        buffer[:taken] = self.left[:taken]
+        self.left = self.left[taken:]
+        return taken
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    for batch in batches:
+        for path, value in zip(batch.column(0), batch.column(1), strict=True):
+            yield path.as_py(), value.as_py()
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, io.BufferedIOBase]]:
+    """Archives that are one value each."""
+    for path, content in _values(batches):
+        yield path, io.BufferedReader(_Inflated(content), 1 << 16) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, io.BufferedIOBase]]:
+    """Archives whose pieces follow one another; one piece is held at a time."""
+    for path, pieces in itertools.groupby(_values(batches), key=lambda row: row[0]):
+        yield path, io.BufferedReader(_Joined(value for _, value in pieces), 1 << 16)
+
+
+def _parsed(opened, keep_blocks: bool):
+    schema = to_arrow_schema(T.StructType.fromDDL(RECORDS))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for path, stream in opened(batches):
+            for headers, block in parse(stream, path):
+                kind = headers.get("warc-type", "")
+                digest = size = page = None
+                if kind in ("response", "revisit") and "http" in headers.get("content-type", ""):
+                    digest, size = _payload(headers, block)
+                if kind == "metadata" and "warc-fields" in headers.get("content-type", ""):
+                    value = _lines(io.BytesIO(block + b"\r\n"), path).get("page-id", "")
+                    page = int(value) if value.lstrip("-").isdigit() else None
+                names = ("warc-record-id", "warc-concurrent-to", "warc-target-uri", "warc-refers-to")
+                rows.append((kind, *[headers.get(n) for n in names], digest, size, page, block if keep_blocks else None))
+                held += len(block) if keep_blocks else 0
+                if held >= READ_BYTES or len(rows) >= 2048:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        yield batch_of(rows)
 
     return run
 
 
 def read_records(spark: SparkSession, folder: str, keep_blocks: bool = True) -> DataFrame:
-    """The records of a folder of WARC files, plain or gzipped (one member or one per record)."""
+    """The records of a folder of WARC files, plain or gzipped (one member or one per record).
+
+    Files named ``*.gz`` are streamed, one task each, a record held at a time,
+    so their size is not bounded.  Others are read as one value, which Spark
+    bounds by 2 GB; a file beyond that fails rather than being cut.
+    """
     prepare(spark)
-    files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    return files.mapInPandas(_parsed(keep_blocks), RECORDS)
+    packed = spark.read.option("lineSep", BETWEEN).option("pathGlobFilter", "*.gz").text(folder)
+    pieces = packed.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("content"))
+    plain = spark.read.format("binaryFile").load(folder).select("path", "content").where(~F.endswith("path", F.lit(".gz")))
+    return pieces.mapInArrow(_parsed(_streamed, keep_blocks), RECORDS).union(plain.mapInArrow(_parsed(_whole, keep_blocks), RECORDS))
 
 
 def assemble(records: DataFrame) -> DataFrame:
