@@ -79,7 +79,9 @@ def _assign(shared, probes: int):
                 if centres is None:
                     ranked = np.zeros((len(own), 1), np.int64)
                 else:
-                    ranked = np.argsort(-(_unit(own["embedding"]) @ centres.T), axis=1, kind="stable")[:, :probes]
+                    x = _unit(own["embedding"])
+                    # A few rows at a time: a row has a product for each of up to MOST_CELLS cells.
+                    ranked = np.concatenate([np.argsort(-(x[k : k + 256] @ centres.T), axis=1, kind="stable")[:, :probes] for k in range(0, len(x), 256)])
                 for at, cells in zip(own.index, ranked, strict=True):
                     near[at] = cells
             batch["near"] = near
@@ -88,6 +90,14 @@ def _assign(shared, probes: int):
     return run
 
 
+def _runs(p: np.ndarray, q: np.ndarray) -> tuple[list, list]:
+    """The distinct values of p, which is in order, and the values of q beside each."""
+    if not len(p):
+        return [], []
+    begin = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+    return list(p[begin]), np.split(q, begin[1:])
+
+
 def _products(threshold: float):
     """For two blocks of a cell: each class's linked copies, and links that span the block's groups."""
 
@@ -103,14 +113,7 @@ def _products(threshold: float):
         a = np.flatnonzero(block == left)
         b = np.flatnonzero(block == right)
         linked = np.zeros(len(rows), np.int64)
-        parent = np.arange(len(rows))
-
-        def top(k):
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
+        group = np.arange(len(rows))
         out = []
         for k in range(0, len(a), 256):
             part = a[k : k + 256]
@@ -125,11 +128,13 @@ def _products(threshold: float):
             p, q = p[keep], q[keep]
             np.add.at(linked, p, copies[q])
             np.add.at(linked, q, copies[p])
-            for i, j in zip(p, q, strict=True):
-                s, t = top(i), top(j)
-                if s != t:
-                    parent[t] = s
-                    out.append((node[i], node[j], 0))
+            # One link to each group that a row meets and is not of; p is in order, so a row's pairs are a run.
+            for i, near_i in zip(*_runs(p, q), strict=True):
+                met, first = np.unique(group[near_i], return_index=True)
+                new = met != group[i]
+                if new.any():
+                    out += [(node[i], node[j], 0) for j in near_i[first[new]]]
+                    group[np.isin(group, met)] = group[i]
         out += [(node[k], None, linked[k]) for k in np.flatnonzero(linked)]
         found = pd.DataFrame(out, columns=["u", "v", "n"])
         return found.astype({"u": "int64", "v": "Int64", "n": "int64"})
