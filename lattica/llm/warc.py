@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lattica.llm.common import cut, prepare, shared_folder
+from lattica.llm.common import cut, drop, prepare, remove, shared_folder
 
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -317,7 +317,12 @@ def archived(pages: DataFrame) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     try:
         write_archives(pages, folder)
-        captures = assemble(read_records(spark, folder, keep_blocks=False)).select(
+        # Records without blocks are small, and assembly reads them several times; archives are parsed once.
+        records = cut(read_records(spark, folder, keep_blocks=False))
+    finally:
+        remove(spark, folder)
+    captures = cut(
+        assemble(records).select(
             F.col("metadata")[0]["page_id"].alias("page_id"),
             F.col("response.payload_bytes").alias("payload_bytes"),
             F.col("response.payload_digest").alias("payload_digest"),
@@ -325,10 +330,8 @@ def archived(pages: DataFrame) -> DataFrame:
             F.col("response.record_id").alias("record_id"),
             F.col("response.refers_to").alias("named"),
         )
-        captures = cut(captures)
-    finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    )
+    drop(records)
     firsts = cut(captures.where("record_type = 'response'").groupBy(F.col("record_id").alias("first")).agg(F.min("page_id").alias("refers_to")))
     return captures.join(firsts, F.col("named") == F.col("first"), "left").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
