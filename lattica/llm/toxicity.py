@@ -40,6 +40,10 @@ REJECT = 0.5
 
 #: Times as often among toxic examples as among clean ones that a voter of the lexicon must occur.
 VETTED = 5
+#: And a term that is mined from the labelled rows.
+MINED = 50
+#: The share of clean examples, at least one of them, that a voter may match without a further test, as labels err.
+STRAY = 0.001
 #: Correlations smaller than this are taken for chance.
 LEAST_RHO = 0.1
 #: The share of a vote that voters which exclude each other get back at most.
@@ -95,14 +99,14 @@ def lexicon_terms(lexicon: list[str]) -> set[bytes]:
 
 
 def find_voters(rows: list[np.ndarray], labels: np.ndarray, size: int, most: int = VOTERS) -> np.ndarray:
-    """Terms that toxic examples have at least 50 times as often as clean ones, strongest first."""
+    """Terms that toxic examples have at least MINED times as often as clean ones, strongest first."""
     def counts(label: int) -> np.ndarray:
         own = [r for r, y in zip(rows, labels, strict=True) if y == label]
         return np.bincount(np.concatenate(own), minlength=size) if own else np.zeros(size, np.int64)
 
     toxic, clean = counts(1), counts(0)
     n, m = max(int(labels.sum()), 1), max(int((1 - labels).sum()), 1)
-    usual = (toxic >= max(4, 0.02 * n)) & (toxic / n >= 50 * clean / m) & (toxic / n >= 5 / (m + 1))
+    usual = (toxic >= max(4, 0.02 * n)) & (toxic / n >= MINED * clean / m) & (toxic / n >= 5 / (m + 1))
     strength = np.where(usual, toxic * np.log(((toxic + 0.5) / (n + 1)) / ((clean + 0.5) / (m + 1))), 0.0)
     order = np.lexsort((np.arange(size), -strength))[:most]
     return order[strength[order] > 0]
@@ -115,6 +119,31 @@ def _vetted(voters: np.ndarray, rows: list[np.ndarray], labels: np.ndarray) -> n
     return voters[(hits[1] / n >= VETTED * hits[0] / m) & (hits[1] > 0)]
 
 
+def _adding(voters: np.ndarray, times: np.ndarray, rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The voters that hardly any clean examples have, and of the others those that add to purer ones.
+
+    A start shared with a harmless word is as frequent among toxic examples as
+    the insult that it begins.  So a voter that clean examples have must occur
+    ``times`` as often among the toxic ones where no purer voter matches.
+    """
+    if not len(voters):
+        return voters
+    hits = np.array([np.isin(voters, at, assume_unique=True) for at in rows])
+    toxic = labels == 1
+    n, m = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
+    clean = hits[~toxic].sum(axis=0)
+    kept = clean <= max(1, STRAY * m)
+    silent = ~hits[:, kept].any(axis=1)
+    for k in np.lexsort((np.arange(len(voters)), clean)):
+        if not kept[k]:
+            own = hits[:, k] & silent
+            more = int((own & toxic).sum())
+            if more and more / n >= times[k] * int((own & ~toxic).sum()) / m:
+                kept[k] = True
+                silent &= ~hits[:, k]
+    return voters[kept]
+
+
 @dataclass
 class LabelModel:
     """Vote rates of each voter among toxic and clean texts, the prior, and the discount for correlated voters."""
@@ -191,7 +220,9 @@ def train(found: list[tuple[bytes, int]], lexicon: list[str] | None = None) -> t
     wanted = lexicon_terms(LEXICON if lexicon is None else lexicon)
     voters = np.array([k for k, name in enumerate(names) if name in wanted], np.int64)
     if lexicon is None:
-        voters = np.union1d(_vetted(voters, rows, y), find_voters(rows, y, len(names))).astype(np.int64)
+        listed = _vetted(voters, rows, y)
+        voters = np.union1d(listed, find_voters(rows, y, len(names))).astype(np.int64)
+        voters = _adding(voters, np.where(np.isin(voters, listed), VETTED, MINED), rows, y)
     if not len(voters):
         return None
     votes = np.array([np.isin(voters, at, assume_unique=True) for at in rows])
