@@ -34,7 +34,7 @@ SAMPLE = 3072
 #: Characters of the word starts that patterns match.
 STARTS = (4, 5, 6, 7)
 VOTERS = 400
-EPOCHS = 6
+EPOCHS = 12
 LIFT = 6
 REJECT = 0.5
 
